@@ -9,17 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tables
-from . import confusables, near_duplicates, pieces, residue
+from . import confusables, leakage, near_duplicates, pairs, personal, pieces, residue
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+P1_FIELDS = (("consultations", "question"), ("consultations", "answer"), ("lawyers", "about"))
+
+
+def _lexicon(spark: SparkSession, d: str) -> personal.Lexicon:
+    texts = _union([tables(spark, d, t)[0].select(F.col(f).alias("text")) for t, f in P1_FIELDS])
+    return personal.learn(texts, tables(spark, d, "lawyers")[0].select("name"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = _lexicon(spark, d)
+    parts = []
+    for t, f in P1_FIELDS:
+        found = personal.found_items(tables(spark, d, t)[0], "row_id", f, lexicon)
+        parts.append(found.select(F.lit(t).alias("table_name"), "row_id", F.lit(f).alias("field_name"), "pii_type", "occurrence"))
+    return _union(parts)
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = _lexicon(spark, d)
+    consultations, lawyers = tables(spark, d, "consultations", "lawyers")
+    a = consultations.select(F.lit("consultations").alias("table_name"), "row_id", *[personal.redacted_column(f, lexicon).alias(f) for f in ("question", "answer")])
+    b = lawyers.select(F.lit("lawyers").alias("table_name"), "row_id", personal.redacted_column("about", lexicon).alias("about"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     (consultations,) = tables(spark, d, "consultations")
-    pairs, copies = near_duplicates.similar_pairs(consultations, "row_id", ["question", "answer"], 3, 0.5)
-    return near_duplicates.all_pairs(pairs, copies)
+    linked, copies = near_duplicates.similar_pairs(consultations, "row_id", ["question", "answer"], 3, 0.5)
+    return near_duplicates.all_pairs(linked, copies)
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +52,10 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_groups(consultations, "row_id", ["question", "answer"], 5, 0.8).withColumnRenamed("id", "row_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(tables(spark, d, "consultations")[0])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     nodes, files = tables(spark, d, "nodes", "legal_files")
     named = lambda df, t, f: df.select(F.lit(t).alias("table_name"), "row_id", F.lit(f).alias("field_name"))
@@ -84,6 +113,17 @@ def p6_name_groups(spark: SparkSession, d: str) -> DataFrame:
     return confusables.look_alike_groups(tables(spark, d, "lawyers")[0], "row_id", "name")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(*tables(spark, d, "documents", "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_clean_files, p5_found, p5_pieces, p6_found, p6_consistent, p6_name_groups)
+    f.__name__: f for f in (
+        p1_found, p1_redacted, p2_found, p2_groups, p3_found, p4_found, p4_clean_files, p5_found, p5_pieces,
+        p6_found, p6_consistent, p6_name_groups, p8_found, p8_spans,
+    )
 }
