@@ -2,8 +2,8 @@
 
 Offsets are prefix sums of unit sizes (1 per code point, or per token of a given token count). Boundaries are sorted
 arrays, from paragraphs down to spaces. Each piece ends at the last boundary under the limit, found by binary search, of
-the strongest kind that lies in the piece's later half; if there is none of any kind, it is cut hard, but not inside a
-surrogate-free cluster of a letter and its marks. The next piece begins exactly ``overlap`` units before.
+the strongest kind that lies in the piece's later half; if there is none of any kind, it is cut hard, but not between a
+letter and its marks. The next piece begins exactly ``overlap`` units before.
 
 NULL and '' give no piece. A text within the limit is one piece. Rows that repeat give their pieces again.
 """

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tables
-from . import confusables, leakage, near_duplicates, pairs, personal, pieces, residue
+from ..session import tables, written
+from . import confusables, leakage, near_duplicates, packing, pairs, personal, pieces, residue, subjects
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -113,6 +113,20 @@ def p6_name_groups(spark: SparkSession, d: str) -> DataFrame:
     return confusables.look_alike_groups(tables(spark, d, "lawyers")[0], "row_id", "name")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    documents, limits = tables(spark, d, "documents", "size_limits")
+    capacity, _, _ = pieces.limit_of(limits, "documents", "text")
+    sizes = packing.token_counts(documents, "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", capacity)
+
+
+def p7_use(spark: SparkSession, d: str) -> DataFrame:
+    capacity, _, _ = pieces.limit_of(tables(spark, d, "size_limits")[0], "documents", "text")
+    loads = p7_packed(spark, d).where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    total, n = F.sum("load"), F.count("*")
+    return loads.agg(n.alias("n_containers"), total.alias("n_tokens"), F.max("load").alias("fullest"), (n * capacity - total).alias("unused"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id")
 
@@ -121,9 +135,24 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(*tables(spark, d, "documents", "eval_items"))
 
 
+def p9_areas(spark: SparkSession, d: str) -> DataFrame:
+    documents, labels = tables(spark, d, "documents", "subject_labels")
+    records = written(subjects.described(documents, "doc_id", "text"), "subject-terms")
+    found = subjects.areas(records, subjects.learn(records, labels))
+    return found.select("doc_id", "subject", F.round("share", 4).alias("share"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_areas(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return p9_areas(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         p1_found, p1_redacted, p2_found, p2_groups, p3_found, p4_found, p4_clean_files, p5_found, p5_pieces,
-        p6_found, p6_consistent, p6_name_groups, p8_found, p8_spans,
+        p6_found, p6_consistent, p6_name_groups, p7_packed, p7_use, p8_found, p8_spans, p9_found, p9_areas, p9_composition,
     )
 }
