@@ -1,0 +1,196 @@
+"""Web pages: titles, lines, links, download links, profiles and cards, by the standard library's parser."""
+
+from __future__ import annotations
+
+
+from html import unescape
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import normalize_file, normalize_space
+from ..functions.urls import EXTENSION
+
+_SKIPPED = frozenset("script style noscript svg template header footer nav aside form button".split())
+_BLOCKS = frozenset("p div li ul ol tr td th table section article main h1 h2 h3 h4 h5 h6 br hr dt dd blockquote".split())
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+PAGE = "struct<title:string,h1:string,lines:array<string>,links:array<struct<href:string,text:string,download:boolean>>,media:array<string>>"
+_PAGE = pa.struct([
+    ("title", pa.string()), ("h1", pa.string()), ("lines", pa.list_(pa.string())),
+    ("links", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("download", pa.bool_())]))), ("media", pa.list_(pa.string())),
+])
+
+
+class _Page(HTMLParser):
+    """One pass over a page; text inside skipped elements doesn't count, an open link ends at the next one."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.skipping = 0
+        self.into: list[str] | None = None
+        self.title: list[str] = []
+        self.h1: list[str] = []
+        self.lines: list[str] = []
+        self.line: list[str] = []
+        self.links: list[dict] = []
+        self.link: dict | None = None
+        self.media: list[str] = []
+
+    def cut(self) -> None:
+        text = " ".join("".join(self.line).split())
+        if text:
+            self.lines.append(text)
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag in _SKIPPED:
+            self.skipping += 1
+        if tag == "title":
+            self.into = self.title
+        elif tag == "h1":
+            self.into = self.h1
+        if tag in _BLOCKS:
+            self.cut()
+        if tag == "a" and a.get("href"):
+            self.link = {"href": a["href"].strip(), "text": "", "download": "download" in a}
+            self.links.append(self.link)
+        if tag in ("source", "audio", "video", "iframe", "embed") and a.get("src"):
+            self.media.append(a["src"].strip())
+
+    def handle_endtag(self, tag):
+        if tag in _SKIPPED and self.skipping:
+            self.skipping -= 1
+        if tag in ("title", "h1"):
+            self.into = None
+        if tag == "a":
+            self.link = None
+        if tag in _BLOCKS:
+            self.cut()
+
+    def handle_data(self, data):
+        if self.into is not None:
+            self.into.append(data)
+            return
+        if self.link is not None:
+            self.link["text"] += data
+        if not self.skipping:
+            self.line.append(data)
+
+
+def read(html: str | None) -> dict | None:
+    if html is None:
+        return None
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page.cut()
+    join = lambda xs: " ".join("".join(xs).split()) or None
+    for link in page.links:
+        link["text"] = " ".join(link["text"].split())
+    return {"title": join(page.title), "h1": join(page.h1), "lines": page.lines, "links": page.links, "media": page.media}
+
+
+def parsed(html: Column | str) -> Column:
+    """struct(title, h1, lines, links, media) of a page; NULL for NULL."""
+
+    @F.arrow_udf(PAGE)
+    def parse(values: pa.Array) -> pa.Array:
+        return pa.array([read(x) for x in values.to_pylist()], _PAGE)
+
+    return parse(F.col(html) if isinstance(html, str) else html)
+
+
+def page_title(page: Column, fallback: Column) -> Column:
+    from ..functions.text import first_non_empty
+
+    return first_non_empty(page["h1"], page["title"], fallback)
+
+
+def main_lines(page: Column, noise: list[str]) -> Column:
+    """Lines without noise and without repeats of the line before, and without the title in front."""
+    from ..operators.sequences import without_noise, without_runs
+
+    kept = without_runs(without_noise(page["lines"], noise))
+    return F.when(F.try_element_at(kept, F.lit(1)) == page["h1"], F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
+
+
+def absolute(base: Column, href: Column) -> Column:
+    @F.arrow_udf("string")
+    def join(bases: pa.Array, hrefs: pa.Array) -> pa.Array:
+        return pa.array([urljoin(b, h) if b is not None and h is not None else None for b, h in zip(bases.to_pylist(), hrefs.to_pylist())], pa.string())
+
+    return join(base, href)
+
+
+def unescaped(text: Column | str) -> Column:
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([unescape(x) if x is not None else None for x in values.to_pylist()], pa.string())
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
+def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """(key, position, url, href, text, download) of every link, made absolute."""
+    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(parsed(html)["links"]).alias("position", "l"))
+    return rows.select(key, "position", absolute(F.col("base"), F.col("l.href")).alias("url"), F.col("l.href").alias("href"), F.col("l.text").alias("text"), "l.download")
+
+
+def download_link(pages: DataFrame, key: str, url: str, html: str, host: str) -> DataFrame:
+    """(key, file_url, score): the likeliest file of a page: the highest score, of equal ones the smallest URL."""
+    base = pages.select(key, F.col(url).alias("base"), parsed(html).alias("p"))
+    anchors = base.select(key, "base", F.explode("p.links").alias("l")).where(~F.col("l.href").rlike("^(?:#|javascript:|mailto:|tel:)"))
+    anchors = anchors.select(key, absolute(F.col("base"), F.col("l.href")).alias("u"), normalize_file("l.text").alias("t"), F.col("l.download").alias("d"))
+    path, points = F.try_url_decode(F.col("u")), lambda when, n: F.when(when, n).otherwise(0)
+    likely = F.col("t").rlike("دانلود|دریافت|download") | F.col("d") | path.rlike(EXTENSION)
+    score = points(F.col("t").rlike("دانلود|download"), 10) + points(F.col("d"), 6) + points(path.rlike(EXTENSION), 5)
+    score = score + points(F.lower(F.try_parse_url("u", F.lit("HOST"))) != host.lower(), 2) - points(path.contains("/show/"), 10)
+    found = anchors.where(likely).select(key, "u", score.alias("s"))
+    media = base.select(key, "base", F.explode("p.media").alias("m")).select(key, absolute(F.col("base"), F.col("m")).alias("u"))
+    media = media.select(key, "u", F.when(F.try_url_decode("u").rlike(EXTENSION), 7).otherwise(3).alias("s"))
+    every = found.unionByName(media)
+    return every.groupBy(key).agg(F.min_by(F.struct(F.col("u").alias("file_url"), F.col("s").alias("score")), F.struct(-F.col("s"), "u")).alias("r")).select(key, "r.*")
+
+
+def profile(strings: Column) -> Column:
+    """struct of a lawyer's profile from the strings of a page, by their labels."""
+    from ..functions.text import EMAIL, label_value
+
+    stops = ["درباره من", "تخصص‌ها", "آدرس", "شهر", "ایمیل", "شماره پروانه", "تحصیلات"]
+    value = lambda *names: label_value(strings, list(names), [s for s in stops if s not in names], 5)
+    mails = F.filter(strings, lambda s: s.rlike(EMAIL))
+    return F.struct(
+        value("درباره من").alias("about"), value("آدرس").alias("address"), value("شهر").alias("city"), value("شماره پروانه").alias("license_number"),
+        value("تحصیلات").alias("education"), F.regexp_extract(F.try_element_at(mails, F.lit(1)), EMAIL, 0).alias("email"),
+    )
+
+
+def cards(strings: Column) -> Column:
+    """Consultation cards of a page's strings: a date opens a card; its first string is the title, the next the question,
+    the rest the answer."""
+    date = r"^[۰-۹0-9]{4}/[۰-۹0-9]{1,2}/[۰-۹0-9]{1,2}$"
+    empty = F.array().cast("array<array<string>>")
+    grouped = F.aggregate(
+        strings, empty,
+        lambda cs, s: F.when(s.rlike(date), F.array_append(cs, F.array(s))).when(F.size(cs) == 0, cs).otherwise(
+            F.concat(F.slice(cs, F.lit(1), F.size(cs) - 1), F.array(F.array_append(F.element_at(cs, -1), s)))
+        ),
+    )
+    part = lambda c, i: F.try_element_at(c, F.lit(i))
+    return F.transform(F.filter(grouped, lambda c: F.size(c) >= 3), lambda c: F.struct(
+        part(c, 1).alias("advice_date"), part(c, 2).alias("title"), part(c, 3).alias("question"), F.array_join(F.slice(c, F.lit(4), F.greatest(F.size(c) - 3, F.lit(0))), "\n").alias("answer")))
+
+
+def listing(found: DataFrame, key: str) -> DataFrame:
+    """(key, lawyer_id, profile_url, listing_name) of the links that carry a lawyer's id; the longest name of an id wins."""
+    from ..functions.urls import parameter
+
+    rows = found.withColumn("lawyer_id", parameter("url", "lawyerID")).where(F.col("lawyer_id").rlike("^[0-9]+$"))
+    named = normalize_space("text")
+    return rows.groupBy(key, "lawyer_id").agg(F.min("url").alias("profile_url"), F.max_by(named, F.struct(F.length(named), named)).alias("listing_name"))
+
+
