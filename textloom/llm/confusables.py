@@ -83,7 +83,8 @@ def consistent(text: str | None) -> str | None:
     text = _INVISIBLE.sub("", _SPACES.sub(" ", text)).translate(_PLAIN).replace("یٔ", "ئ")
     text = unicodedata.normalize("NFC", text)
     if "‌" in text:
-        text = _LOOSE_JOIN.sub("", _JOINS.sub("‌", text))
+        text = _LOOSE_JOIN.sub("", _JOINS.sub("‌", text)).replace("یٔ", "ئ")
+        text = unicodedata.normalize("NFC", text)
     if _FOREIGN.search(text):
         text = unicodedata.normalize("NFC", _RUN.sub(_one_script, text))
     return text
