@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean_advice, or_empty, strip
+
 
 def stable_id(prefix: str, value: Column | str) -> Column:
     """prefix: and 20 hex digits of SHA-1 of the trimmed, case-folded value."""
-    v = F.lower(F.replace(F.trim(F.col(value) if isinstance(value, str) else value), F.lit("ß"), F.lit("ss")))
+    v = F.lower(F.replace(strip(value), F.lit("ß"), F.lit("ss")))
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha1(v.cast("binary")), 1, 20))
 
 
@@ -49,6 +51,4 @@ def file_id(own: Column, url: Column, title: Column, path: Column) -> Column:
 
 def item_hash(*parts: Column | str) -> Column:
     """SHA-256 of the cleaned date, title, question and answer of a consultation."""
-    from .text import clean_advice, or_empty
-
     return F.sha2(clean_advice(F.concat_ws("\n", *[or_empty(p) for p in parts])), 256)

@@ -54,6 +54,11 @@ def normalize_space(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(or_empty(x), SPACE + "+", " "))
 
 
+def strip(x: Column | str) -> Column:
+    """The value without white space of any kind at both ends."""
+    return F.regexp_replace(_c(x), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize_space_keep_lines(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(or_empty(x), r"[ \t\x{A0}]+", " "))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
-from ..functions.text import first_non_empty
+from ..functions.text import first_non_empty, strip
 
 RECORD = """request_id string, status string, page_url string, fetched_at string,
  question struct<title: string, text: string, tags: array<struct<name: string, url: string>>>,
@@ -16,24 +16,24 @@ RECORD = """request_id string, status string, page_url string, fetched_at string
 def valid_records(records: DataFrame) -> DataFrame:
     """Records with a question that were found; raises on one without an id."""
     kept = records.where(F.col("question").isNotNull() & (F.coalesce("status", F.lit("")) != "not_found"))
-    has_id = F.length(F.trim(F.coalesce("request_id", F.lit("")))) > 0
+    has_id = F.length(strip(F.coalesce("request_id", F.lit("")))) > 0
     return kept.where(F.when(has_id, True).otherwise(F.raise_error(F.lit("a record has no request_id")).cast("boolean")))
 
 
 def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of records. Positions of answers count skipped ones too; a URL that isn't empty wins."""
-    r = valid_records(records).withColumn("rid", F.trim("request_id")).withColumn("qid", F.concat(F.lit("question:"), F.col("rid")))
-    title = first_non_empty(F.trim("question.title"), F.concat(F.lit("مشاوره حقوقی "), F.col("rid")))
-    questions = r.select(F.col("qid").alias("id"), F.lit("Question").alias("label"), title.alias("name"), F.trim(F.coalesce("question.text", F.lit(""))).alias("text"), F.coalesce("page_url", F.lit("")).alias("url"))
-    tags = r.select("qid", F.explode("question.tags").alias("t")).where(F.trim("t.name") != "").select("qid", stable_id("tag", F.col("t.name")).alias("id"), F.trim("t.name").alias("name"), F.coalesce("t.url", F.lit("")).alias("url"))
-    answers = r.select("rid", "qid", F.posexplode("answers").alias("i", "a")).where(F.trim("a.text") != "")
+    r = valid_records(records).withColumn("rid", strip("request_id")).withColumn("qid", F.concat(F.lit("question:"), F.col("rid")))
+    title = first_non_empty(strip("question.title"), F.concat(F.lit("مشاوره حقوقی "), F.col("rid")))
+    questions = r.select(F.col("qid").alias("id"), F.lit("Question").alias("label"), title.alias("name"), strip(F.coalesce("question.text", F.lit(""))).alias("text"), F.coalesce("page_url", F.lit("")).alias("url"))
+    tags = r.select("qid", F.explode("question.tags").alias("t")).where(strip("t.name") != "").select("qid", stable_id("tag", F.col("t.name")).alias("id"), strip("t.name").alias("name"), F.coalesce("t.url", F.lit("")).alias("url"))
+    answers = r.select("rid", "qid", F.posexplode("answers").alias("i", "a")).where(strip("a.text") != "")
     answers = answers.withColumn("id", F.concat_ws(":", F.lit("answer"), "rid", (F.col("i") + 1).cast("string")))
-    lawyers = answers.where(F.trim("a.lawyer.name") != "").select(
-        F.col("id").alias("answer"), stable_id("lawyer", first_non_empty("a.lawyer.profile_url", "a.lawyer.name")).alias("id"), F.trim("a.lawyer.name").alias("name"), F.coalesce("a.lawyer.profile_url", F.lit("")).alias("url")
+    lawyers = answers.where(strip("a.lawyer.name") != "").select(
+        F.col("id").alias("answer"), stable_id("lawyer", first_non_empty("a.lawyer.profile_url", "a.lawyer.name")).alias("id"), strip("a.lawyer.name").alias("name"), F.coalesce("a.lawyer.profile_url", F.lit("")).alias("url")
     )
     node = lambda df, label, text: df.select("id", F.lit(label).alias("label"), "name", text.alias("text"), "url")
     rows = questions.unionByName(node(tags, "Tag", F.lit(""))).unionByName(node(lawyers, "Lawyer", F.lit("")))
-    rows = rows.unionByName(answers.select("id", F.lit("Answer").alias("label"), F.coalesce("a.number", (F.col("i") + 1).cast("string")).alias("name"), F.trim("a.text").alias("text"), F.lit("").alias("url")))
+    rows = rows.unionByName(answers.select("id", F.lit("Answer").alias("label"), F.coalesce("a.number", (F.col("i") + 1).cast("string")).alias("name"), strip("a.text").alias("text"), F.lit("").alias("url")))
     nodes = rows.groupBy("id", "label").agg(F.max("name").alias("name"), F.max("text").alias("text"), F.max("url").alias("url"))
     link = lambda df, a, b, kind: df.select(F.col(a).alias("source_id"), F.col(b).alias("target_id"), F.lit(kind).alias("relation_type"))
     links = link(tags, "qid", "id", "TAGGED_WITH").unionByName(link(answers, "qid", "id", "HAS_ANSWER")).unionByName(link(lawyers, "answer", "id", "ANSWERED_BY"))

@@ -65,10 +65,10 @@ def _returns(seeds: DataFrame, adjacent: DataFrame, depth: int) -> DataFrame:
     loops = own.where("a = b").select(F.col("a").alias("seed"), F.array("relation_type").alias("path"), F.lit(1).alias("hops"))
     ways = loops
     first = own.where("a != b").select(F.col("a").alias("seed"), F.col("b").alias("u"), F.col("relation_type").alias("t1"), F.col("edge").alias("e1"))
-    last = first.select("seed", F.col("u").alias("w"), F.col("t1").alias("t3"), F.col("e1").alias("e3"))
+    last = own.where("a != b").select(F.col("a").alias("seed"), F.col("b").alias("w"), F.col("relation_type").alias("t3"), F.col("edge").alias("e3"))
     if depth >= 2:
-        two = first.join(last, (first["seed"] == last["seed"]) & (F.col("u") == F.col("w")) & (F.col("e1") != F.col("e3")))
-        ways = ways.unionByName(two.select(first["seed"], F.array("t1", "t3").alias("path"), F.lit(2).alias("hops")))
+        two = first.join(last.withColumnRenamed("w", "u"), ["seed", "u"]).where("e1 != e3")
+        ways = ways.unionByName(two.select("seed", F.array("t1", "t3").alias("path"), F.lit(2).alias("hops")))
     if depth >= 3:
         middle = adjacent.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("relation_type").alias("t2"), F.col("edge").alias("e2"))
         three = first.join(middle, "u").where((F.col("w") != F.col("seed")) & (F.col("e1") != F.col("e2"))).join(last, ["seed", "w"])
