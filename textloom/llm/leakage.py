@@ -94,9 +94,9 @@ def _extend(least: int, schema: pa.Schema):
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = 12) -> DataFrame:
     """(doc_id, item_id, n_words, doc_word, item_word): the longest common run of each document and item, 0-based starts.
 
-    Ids are integers and unique on each side.
+    Ids are integers and unique on each side; rows without an id are left out.
     """
-    slim = lambda df, i: df.where(F.length(text) > 0).select(F.col(i).cast("long").alias("id"), F.col(text).alias("t"))
+    slim = lambda df, i: df.where((F.length(text) > 0) & F.col(i).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(text).alias("t"))
     marked = slim(items, item_id).mapInArrow(_scan(least, K, None, _SCHEMA), _DDL)
     bitmap = bitmap_of(marked.select(F.explode("prints").alias("p")))
     hit = slim(documents, doc_id).mapInArrow(_scan(least, K, bitmap, _SCHEMA), _DDL)

@@ -158,7 +158,7 @@ def similar_pairs(df: DataFrame, id_column: str, fields: list[str], k: int = 5,
     """Pairs (a, b), a < b, of class representatives with Jaccard >= threshold, and membership (rep, id) of every record.
 
     A class is a set of records with one set of k-word shingles; its representative is the smallest id. Records without
-    a shingle (NULL, '', fewer than k words) have no class and no pair. Ids must be unique; rows repeated under other
+    a shingle (NULL, '', fewer than k words) or without an id have no class and no pair. Ids must be unique; rows repeated under other
     ids are members of one class. Columns beyond id and fields are not read.
     """
     hashes = max(BITS, DEEPEST * max(trees_for(d, threshold, recall) for d in range(2, DEEPEST + 1)))
@@ -172,8 +172,7 @@ def similar_pairs(df: DataFrame, id_column: str, fields: list[str], k: int = 5,
     labels = records.mapInArrow(function, schema)
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _agree(least_agreement(threshold))
     candidates = labels.alias("a").join(labels.alias("b"), near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    texts = df.select(F.col(id_column).cast("long").alias("id"), *fields)
-    side = lambda x: texts.select(F.col("id").alias(x), *[F.col(f).alias(f"{x}{i}") for i, f in enumerate(fields)])
+    side = lambda x: df.select(F.col(id_column).cast("long").alias(x), *[F.col(f).alias(f"{x}{i}") for i, f in enumerate(fields)])
     full = candidates.join(side("a"), "a").join(side("b"), "b")
     full = full.select("a", "b", *[f"{x}{i}" for x in "ab" for i in range(len(fields))])
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
