@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def route(url: Column | str, host: str, section: str, patterns: list[tuple[str,
     decoded = F.try_url_decode(path)
     made = []
     for node_type, subtype, pattern in patterns:
-        number = F.regexp_extract(decoded, pattern, 1) if "(" in pattern else F.lit(None).cast("string")
+        number = F.regexp_extract(decoded, pattern, 1) if re.compile(pattern).groups else F.lit(None).cast("string")
         number = F.when(number != "", number)
         if node_type == "index":
             node = F.lit(f"{prefix}index:{subtype}")
