@@ -249,3 +249,13 @@ def decision_citations(nodes: DataFrame) -> DataFrame:
     confidence = F.when(F.col("n") == 1, 0.95).when(F.col("n") > 1, 0.6).otherwise(0.4)
     rows = joined.select(F.col("id").alias("source_id"), target.alias("target_id"), "relation_type", F.col("raw").alias("raw_reference"), confidence.alias("confidence"))
     return rows.where("source_id != target_id").groupBy("source_id", "target_id", "relation_type", "raw_reference").agg(F.max("confidence").alias("confidence"))
+
+
+def hierarchical_chunks(df: DataFrame, key: str, text: str, longest: int = 4000, overlap: int = 300) -> DataFrame:
+    """Articles as chunks, long ones in parts: owner, article, part_index, part_count, text."""
+    from .chunks import character_chunks
+
+    found = articles(df, key, text)
+    parts = character_chunks(found.select(F.col("id").alias("article"), "text"), "article", "text", longest, overlap)
+    owners = found.select(F.col("id").alias("article"), F.col("document_id").alias("owner"))
+    return parts.join(owners, "article").select("owner", "article", F.col("chunk_index").alias("part_index"), F.col("chunk_count").alias("part_count"), "text")

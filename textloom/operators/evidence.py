@@ -119,3 +119,43 @@ def guard(question: str, longest: int = 12_000) -> str:
     if len(q) > longest:
         raise ValueError("the question is too long")
     return q
+
+
+def known(requested: DataFrame, sources: DataFrame, run: str = "run_id") -> DataFrame:
+    """Requested entities that a run's ledger holds."""
+    return requested.join(sources.select(run, "entity_id").distinct(), [run, "entity_id"], "left_semi")
+
+
+def tool_rows(sources: DataFrame) -> DataFrame:
+    """The fields that a tool hands out, scores rounded to six places."""
+    fields = [c for c in ("source_id", "evidence_id", "entity_id", "title", "text", "source_type", "authority", "source_uri") if c in sources.columns]
+    return sources.select(*fields, F.round("score", 6).alias("score"))
+
+
+def from_hits(hits: DataFrame) -> DataFrame:
+    """Evidence of vector hits (id, score, payload): flat fields first; hits without an entity or text are left out."""
+    from ..functions.text import first_non_empty
+
+    p = hits.select("id", "score", "payload.*")
+    entity, text = F.trim(F.coalesce("entity_id", F.lit(""))), F.trim(F.coalesce("text", F.lit("")))
+    kind = first_non_empty("node_type", source_type(F.col("labels")))
+    status = F.col("access_status") if "access_status" in p.columns else F.lit(None).cast("string")
+    return p.where((entity != "") & (text != "")).select(
+        F.concat(F.lit("vector:"), F.col("id").cast("string")).alias("evidence_id"), entity.alias("entity_id"), first_non_empty("title", entity).alias("title"), text.alias("text"),
+        kind.alias("source_type"), authority(F.col("labels"), status).alias("authority"), F.col("score").cast("double").alias("score"), F.coalesce("url", F.lit("")).alias("source_uri"),
+    )
+
+
+def summary(scores: DataFrame, score: str = "score") -> DataFrame:
+    """Mean, median, least score, and failures (NULL scores) of an evaluation."""
+    return scores.agg(F.avg(score).alias("mean"), F.median(score).alias("median"), F.min(score).alias("least"), F.count_if(F.col(score).isNull()).alias("failures"))
+
+
+def settings(values: dict[str, str]) -> dict[str, int]:
+    """Typed limits from text; raises on one that isn't a positive number."""
+    defaults = {"top_k": 8, "depth": 2, "graph_results": 16, "history": 10}
+    out = {k: int(values.get(k.upper(), d)) for k, d in defaults.items()}
+    for k, v in out.items():
+        if v < (0 if k == "history" else 1):
+            raise ValueError(f"{k} must be positive")
+    return out

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, text, urls
-from ..operators import chunks, citations, consultations, evidence, graph, merge, sequences, vectors
+from ..functions import ids, json, text, urls
+from ..operators import batches, chunks, citations, consultations, evidence, graph, merge, sequences, vectors
 from ..session import tables
 from ..sources import html
+from . import ingestion
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -772,3 +773,35 @@ def child_counts(spark: SparkSession, d: str) -> DataFrame:
     customers, orders = tables(spark, d, "customer", "orders")
     sums = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     return customers.join(sums, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
+
+
+@query("""
+    WITH r AS (SELECT token_count, entity_id, (row_number() OVER (ORDER BY entity_id, chunk_index, row_id) - 1) // 20 + 1 AS shard FROM text_chunks)
+    SELECT shard::INT AS shard, count(*) AS n_requests, count(DISTINCT entity_id) AS n_entities, sum(token_count)::BIGINT AS tokens, 'submitted' AS status, 1 AS attempts FROM r GROUP BY 1""")
+def batch_state(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "text_chunks")[0].select("row_id", "entity_id", "chunk_index", "token_count")
+    return batches.submitted(batches.prepared(chunks.shards(rows, ["entity_id", "chunk_index", "row_id"], 20)))
+
+
+@query("""
+    SELECT row_id::VARCHAR AS document_id, CASE WHEN coalesce(title, '') || coalesce(text, '') <> '' THEN 'indexed' ELSE 'failed' END AS ingestion_status FROM document_chunks""")
+def ingestion_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "document_chunks")[0].select(F.col("row_id").cast("string").alias("document_id"), "title", "text")
+    _, _, status = ingestion.ingest(rows)
+    return status.select("document_id", "ingestion_status")
+
+
+@query(f"""
+    SELECT 'vector:' || point_id || ':' || row_id AS evidence_id, entity_id, coalesce(nullif(title, ''), entity_id) AS title, coalesce(nullif(node_type, ''), 'legal_source') AS source_type, {_AUTH} AS authority, token_count::DOUBLE AS score
+    FROM text_chunks WHERE trim(entity_id) <> '' AND trim(text) <> ''""")
+def evidence_from_hits(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "text_chunks")[0]
+    hits = rows.select(F.concat_ws(":", "point_id", F.col("row_id").cast("string")).alias("id"), F.col("token_count").alias("score"), F.struct("entity_id", "labels", "title", "text", "url", "node_type").alias("payload"))
+    return evidence.from_hits(hits).select("evidence_id", "entity_id", "title", "source_type", "authority", "score")
+
+
+@query("""
+    SELECT row_id, len(json_keys(metadata_json))::INT AS n_leaves, json_extract_string(metadata_json, '$.source_lines') AS source_lines FROM nodes WHERE json_valid(metadata_json)""")
+def json_leaves(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "nodes")[0].where("metadata_json IS NOT NULL").select("row_id", json.leaves("metadata_json").alias("ls"))
+    return rows.select("row_id", F.size("ls").alias("n_leaves"), json.pick(F.col("ls"), ["source_lines"]).alias("source_lines"))
