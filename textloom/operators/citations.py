@@ -109,14 +109,18 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def _indel(a: str, b: str) -> float:
+    """200 times the longest common subsequence over both lengths; bit-parallel, one step for each letter of b."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for c in a:
-        before = 0
-        for j, d in enumerate(b, 1):
-            row[j], before = (before + 1 if c == d else max(row[j], row[j - 1])), row[j]
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def resolve_titles(phrases: DataFrame, choices: DataFrame, cutoff: float = 80.0) -> DataFrame:
@@ -124,12 +128,13 @@ def resolve_titles(phrases: DataFrame, choices: DataFrame, cutoff: float = 80.0)
 
     The cheap test comes first and only what is left goes on. Containment is an equi-join: a title can only be contained
     where its first word stands, so words of phrases are joined with first words of titles. Similarity is asked only of
-    pairs that share a word rarer than ``title_words``' limit, and scored in Arrow batches.
+    pairs that share a rare word: every pair whose shared words make two thirds of either side is among them.
     """
     asked = phrases.select("phrase").where("phrase IS NOT NULL").distinct().withColumn("c", title_candidate("phrase")).where("c != ''")
     asked = written(asked, "phrases")
+    choices = written(choices, "titles")
     exact = asked.join(choices, asked["c"] == choices["title"]).select("phrase", "id", F.lit(1.0).alias("confidence"))
-    rest = asked.join(exact.select("phrase"), "phrase", "left_anti")
+    rest = written(asked.join(exact.select("phrase"), "phrase", "left_anti"), "unequal")
     starts = choices.where(F.length("title") >= 5).select("title", "id", F.split("title", " ")[0].alias("w"))
     # a title may also begin inside a word, so every suffix of every word is a possible start of it
     suffixes = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.length(w))))))
@@ -139,7 +144,8 @@ def resolve_titles(phrases: DataFrame, choices: DataFrame, cutoff: float = 80.0)
     single = starts.where(~F.contains("title", F.lit(" "))).select("title", "id")
     heads = rest.select("phrase", "c", F.explode(_substrings(F.col("c"))).alias("title")).join(single, "title").groupBy("phrase").agg(F.max_by("id", F.struct(F.length("title"), "title")).alias("id1"), F.max(F.length("title")).alias("n1"))
     inside = inside.join(heads, "phrase", "full").select("phrase", F.coalesce("id", "id1").alias("id"), F.lit(0.96).alias("confidence"))
-    left = rest.join(inside.select("phrase"), "phrase", "left_anti")
+    inside = written(inside, "containing")
+    left = written(rest.join(inside.select("phrase"), "phrase", "left_anti"), "unknown")
     fuzzy = _similar(left, choices, cutoff)
     return exact.unionByName(inside).unionByName(fuzzy)
 
@@ -150,15 +156,38 @@ def _substrings(c: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(w) - 4, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(5), F.greatest(F.length(w) - i + 1, F.lit(5))), lambda n: F.substring(w, i, n)))))))
 
 
+def _rare_words(df: DataFrame, text: str, key: list[str], frequency: DataFrame) -> DataFrame:
+    """The rarest words of each text, up to a third of its letters: texts that share two thirds of them share one of these."""
+    w = df.select(*key, F.explode(F.array_distinct(F.split(text, " "))).alias("w")).join(frequency, "w", "left").na.fill(0, ["df"])
+    order = Window.partitionBy(*key).orderBy("df", "w")
+    before = F.coalesce(F.sum(F.length("w") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(F.length("w") + 1).over(Window.partitionBy(*key))
+    return w.withColumn("before", before).withColumn("total", total).where(F.col("before") * 3 <= F.col("total")).select(*key, "w")
+
+
 def _similar(left: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
+    """Titles similar to what is left, among pairs that share a rare word of either side. How far the shared words cover
+    each side is known in the JVM; only pairs of lengths that allow it are compared letter by letter."""
     word = lambda df, c, key: df.select(*key, F.explode(F.array_distinct(F.split(c, " "))).alias("w"))
-    pairs = word(left, "c", ["phrase", "c"]).join(word(choices, "title", ["title", "id"]), "w").select("phrase", "c", "title", "id").distinct()
+    titles = word(choices, "title", ["title", "id"])
+    frequency = written(titles.groupBy("w").agg(F.count("*").alias("df")), "title-words")
+    one = word(left, "c", ["phrase", "c"]).join(_rare_words(choices, "title", ["title", "id"], frequency), "w")
+    two = _rare_words(left, "c", ["phrase", "c"], frequency).join(titles, "w")
+    pairs = one.select("phrase", "c", "title", "id").unionByName(two.select("phrase", "c", "title", "id")).distinct()
+    a, b = F.array_distinct(F.split("c", " ")), F.array_distinct(F.split("title", " "))
+    size = lambda ws: F.length(F.array_join(ws, " "))
+    pairs = pairs.select("*", size(F.array_intersect(a, b)).alias("n"), size(a).alias("n_a"), size(b).alias("n_b"))
+    covered = F.when((F.col("n") == F.col("n_a")) | (F.col("n") == F.col("n_b")), 100.0).otherwise(200.0 * F.col("n") / (F.col("n") + F.least("n_a", "n_b")))
+    possible = (200.0 * F.least("n_a", "n_b") / (F.col("n_a") + F.col("n_b")) >= cutoff) & (covered < 100)
 
     @F.arrow_udf("double")
-    def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([token_set_ratio(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([token_set_ratio(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.float64())
 
-    scored = pairs.withColumn("score", ratio("c", "title")).where(F.col("score") >= cutoff)
+    pairs = pairs.withColumn("covered", covered).withColumn("possible", possible).where(F.col("possible") | (F.col("covered") >= cutoff))
+    sure = pairs.where("NOT possible").select("phrase", "id", "title", F.col("covered").alias("score"))
+    asked = pairs.where("possible").select("phrase", "id", "title", ratio("c", "title").alias("score"))
+    scored = sure.unionByName(asked).where(F.col("score") >= cutoff)
     top = scored.groupBy("phrase").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "title")).alias("m"))
     return top.select("phrase", "m.id", F.round(F.col("m.score") / 100, 3).alias("confidence"))
 
