@@ -76,9 +76,13 @@ def _one_script(match: re.Match[str]) -> str:
 
 
 def consistent(text: str | None) -> str | None:
-    """The consistent form of one text."""
-    if not text or _ordinary(text):
-        return text
+    """The consistent form of one text: changed until nothing changes, as a mark that joins its letter can join two words."""
+    while text and not _ordinary(text) and (changed := _changed(text)) != text:
+        text = changed
+    return text
+
+
+def _changed(text: str) -> str:
     text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     text = _INVISIBLE.sub("", _SPACES.sub(" ", text)).translate(_PLAIN).replace("یٔ", "ئ")
     text = unicodedata.normalize("NFC", text)
