@@ -194,7 +194,10 @@ def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, id_column: str, fields: list[str], k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, n_links): every record with a shingle, its class, and how many other classes that class links to."""
+    """(id, class_id, n_links): every record with text, its class, and how many other classes that class links to.
+
+    A record with fewer than k words is a class of its own without links.
+    """
     pairs, copies = similar_pairs(df, id_column, fields, k, threshold)
     pairs = written(pairs, "pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
