@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .confusables import consistent_column
 
 # The real statuses.
@@ -79,14 +80,14 @@ def line_evidence(line: Column) -> Column:
     return line.rlike(ERROR) | line.rlike(SCRIPT) | filler
 
 
-def residue_texts(df: DataFrame, key: str, text: str, url: str, parts: int | None = None) -> DataFrame:
+def residue_texts(df: DataFrame, key: str, text: str, url: str) -> DataFrame:
     """(key, reason) of the records whose text is a case: reason is placeholder or residue."""
     rows = df.where(F.length(text) > 0).select(
         F.col(key).alias("k"), consistent_column(F.col(text)).alias("t"), F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")).alias("host")
     )
     unfilled = F.col("t").rlike(PLACEHOLDER)
     lines = F.filter(F.transform(F.split("t", r"[\r\n]+"), normal_line), lambda x: x != "")
-    rows = rows.select("k", "host", unfilled.alias("unfilled"), lines.alias("lines"))
+    rows = written(rows.select("k", "host", unfilled.alias("unfilled"), lines.alias("lines")), "lines")
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_records"))
     distinct = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     often = distinct.where(F.col("n") >= LEAST_RECORDS).join(hosts, "host").where(F.col("n") >= LEAST_SHARE * F.col("n_records"))
