@@ -50,3 +50,34 @@ def test_all_copies_and_empty(spark):
 def test_parameters():
     assert N.trees_for(3, 0.5) == 32
     assert N.least_agreement(0.5) < 192
+
+
+def test_groups_of_linked_records(spark):
+    r = random.Random(7)
+    words = [f"واژه{i}" for i in range(300)]
+    base, other = r.sample(words, 60), r.sample(words, 60)
+    changed = lambda ws, at: " ".join([*ws[:at], "دیگر", *ws[at + 1 :]])
+    rows = [(1, " ".join(base)), (2, changed(base, 20)), (3, changed(base, 40)), (4, " ".join(base)), (5, " ".join(other)), (6, changed(other, 9))]
+    rows += [(7, "بله، حتما."), (8, "بله حتما"), (9, "خیر"), (10, "!!!"), (11, "!!!"), (12, ""), (13, None)]
+    found = {x.id: x for x in N.duplicate_groups(spark.createDataFrame(rows, "row_id long, t string"), "row_id", ["t"]).collect()}
+    assert {i: x.group_id for i, x in found.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 10}
+    assert {i: x.class_id for i, x in found.items()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, 11: 10}
+
+
+def test_components_like_union_find(spark):
+    r = random.Random(8)
+    pairs = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 130)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)]
+    pairs = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = N.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(root) and {x.id: x.group for x in got} == {x: top(x) for x in root}
+    assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .words import gram_hashes, mix, runs, word_hashes
+from .words import gram_hashes, mix, runs, word_hashes, words
 
 DEEPEST = 4
 #: Chance that a pair exactly at the threshold is a candidate; pairs above it are found more surely.
@@ -161,6 +162,11 @@ def similar_pairs(df: DataFrame, id_column: str, fields: list[str], k: int = 5,
     a shingle (NULL, '', fewer than k words) or without an id have no class and no pair. Ids must be unique; rows repeated under other
     ids are members of one class. Columns beyond id and fields are not read.
     """
+    return _similar(df, id_column, fields, k, threshold, recall)[:2]
+
+
+def _similar(df: DataFrame, id_column: str, fields: list[str], k: int, threshold: float, recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``similar_pairs``, and the described records."""
     hashes = max(BITS, DEEPEST * max(trees_for(d, threshold, recall) for d in range(2, DEEPEST + 1)))
     all_records = written(described(df, id_column, fields, k, hashes), "described")
     members = all_records.groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -177,7 +183,7 @@ def similar_pairs(df: DataFrame, id_column: str, fields: list[str], k: int = 5,
     full = full.select("a", "b", *[f"{x}{i}" for x in "ab" for i in range(len(fields))])
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     pairs = full.mapInArrow(_verify(k, threshold, len(fields), out), "a long, b long")
-    return pairs, copies
+    return pairs, copies, all_records
 
 
 def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -193,15 +199,61 @@ def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return between.unionByName(within).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
+def _word_hash(schema: pa.Schema):
+    """id, two hashes of the words of records; of those without a word, of the texts themselves."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, *columns = [c.to_pylist() for c in part.columns]
+            rows = []
+            for i, texts in zip(ids, zip(*columns)):
+                ws = words(" ".join(t or "" for t in texts))
+                whole = "w" + " ".join(ws) if ws else "t" + "\0".join(t or "" for t in texts)
+                rows.append((i, *np.array([xxhash.xxh3_64_intdigest(whole, x) for x in (0, 1)], np.uint64).view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], schema=schema)
+
+    return run
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, group) of every id in ``pairs`` (a, b): the smallest id that it is linked with, over however many others.
+
+    Large stars, then small stars, until the edges stay the same; each round is written, so a lost executor repeats one
+    round at most.
+    """
+    edges = written(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = mark(edges)
+    while True:
+        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ways.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = mark(edges)
+        if after == before:
+            break
+        before = after
+    groups = edges.select(F.col("u").alias("id"), F.col("v").alias("group"))
+    return groups.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
+
+
 def duplicate_groups(df: DataFrame, id_column: str, fields: list[str], k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, class_id, n_links): every record with text, its class, and how many other classes that class links to.
+    """(id, class_id, n_links, group_id): every record with text, its class, how many other classes that class links to,
+    and the group: the smallest id among all records that links of classes connect it with.
 
-    A record with fewer than k words is a class of its own without links.
+    Records with fewer than k words have no links; those of the same words are one class.
     """
-    pairs, copies = similar_pairs(df, id_column, fields, k, threshold)
+    pairs, copies, described_records = _similar(df, id_column, fields, k, threshold)
     pairs = written(pairs, "pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    has = F.length(F.concat_ws(" ", *fields)) > 0
-    ids = df.where(has).select(F.col(id_column).cast("long").alias("id"))
-    classed = ids.join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))
-    return classed.join(links, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    groups = components(pairs).select(F.col("id").alias("class_id"), F.col("group").alias("group_id"))
+    texts = df.where(F.length(F.concat_ws("", *fields)) > 0).select(F.col(id_column).cast("long").alias("id"), *fields)
+    short = texts.join(described_records.select("id"), "id", "left_anti").where("id IS NOT NULL")
+    short = written(short.mapInArrow(_word_hash(pa.schema([(n, pa.int64()) for n in ("id", "h0", "h1")])), "id long, h0 long, h1 long"), "short")
+    same = short.groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = copies.unionByName(short.join(same, ["h0", "h1"]).select("rep", "id"))
+    classed = texts.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))
+    out = classed.join(links, "class_id", "left").join(groups, "class_id", "left")
+    return out.select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
