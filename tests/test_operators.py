@@ -219,6 +219,31 @@ def test_titles(spark):
     assert citations.token_set_ratio("abcd", "abce") == pytest.approx(75.0)
 
 
+@pytest.mark.parametrize("cutoff", [80.0, 82.0])
+def test_similar_titles_like_brute_force(spark, cutoff):
+    r = random.Random(11)
+    stock = "قانون مجازات مدنی تجارت اسلامی آیین دادرسی کیفری ثبت اسناد املاک کار تامین اجتماعی مالیات مستقیم بیمه شهرداری صدور چک حمایت خانواده".split()
+    titles = {" ".join(r.sample(stock, r.randrange(1, 6))) for _ in range(60)} | {"قانون مجازات"}
+    titles = sorted(t for t in titles if len(t) >= 3)
+    asked = {"قانون مجارات", "مجارات"}
+    for t in titles * 4:
+        letters = list(t)
+        for _ in range(r.randrange(1, 4)):  # misspelt: changed, doubled, lost letters, and a suffix
+            i = r.randrange(len(letters))
+            letters[i : i + 1] = r.choice(["ژ", letters[i] * 2, "", letters[i] + "ی"])
+        asked.add(" ".join("".join(letters).split()))
+    asked = sorted(asked - {""} - set(titles))
+    want = {}
+    for c in asked:
+        score, title = min((-citations.token_set_ratio(c, t), t) for t in titles)
+        if -score >= cutoff:
+            want[c] = (f"id {title}", round(-score / 100, 3))
+    left = spark.createDataFrame([(c, c) for c in asked], "phrase string, c string")
+    got = citations._similar(left, spark.createDataFrame([(t, f"id {t}") for t in titles], "title string, id string"), cutoff)
+    assert {x.phrase: (x.id, x.confidence) for x in got.collect()} == want
+    assert want["قانون مجارات"] == ("id قانون مجازات", 0.917)
+
+
 def test_law_citations(spark):
     nodes = spark.createDataFrame([
         ("document:show:1", "document", "قانون مدنی", "ماده ۵ از قانون مدنی، لغو شد. بند ۷، مهم است", None), ("document:show:2", "document", "قانون کار", "طبق ماده ۹ از قانون ناشناخته دیگر، عمل شود", None),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -127,8 +128,8 @@ def resolve_titles(phrases: DataFrame, choices: DataFrame, cutoff: float = 80.0)
     """(phrase, id, confidence) of phrases that name a known title: equal, else containing one, else similar.
 
     The cheap test comes first and only what is left goes on. Containment is an equi-join: a title can only be contained
-    where its first word stands, so words of phrases are joined with first words of titles. Similarity is asked only of
-    pairs that share a rare word: every pair whose shared words make two thirds of either side is among them.
+    where its first word stands, so words of phrases are joined with first words of titles. Similarity is asked of every
+    pair that lengths and letters allow to reach the cutoff, with a word in common or without.
     """
     asked = phrases.select("phrase").where("phrase IS NOT NULL").distinct().withColumn("c", title_candidate("phrase")).where("c != ''")
     asked = written(asked, "phrases")
@@ -156,37 +157,66 @@ def _substrings(c: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(w) - 4, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(5), F.greatest(F.length(w) - i + 1, F.lit(5))), lambda n: F.substring(w, i, n)))))))
 
 
-def _rare_words(df: DataFrame, text: str, key: list[str], frequency: DataFrame) -> DataFrame:
-    """The rarest words of each text, up to a third of its letters: texts that share two thirds of them share one of these."""
+def _rare_words(df: DataFrame, text: str, key: list[str], frequency: DataFrame, part: float) -> DataFrame:
+    """The rarest words of each text, up to 1 - ``part`` of its letters: texts that share ``part`` of them share one of these."""
     w = df.select(*key, F.explode(F.array_distinct(F.split(text, " "))).alias("w")).join(frequency, "w", "left").na.fill(0, ["df"])
     order = Window.partitionBy(*key).orderBy("df", "w")
     before = F.coalesce(F.sum(F.length("w") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum(F.length("w") + 1).over(Window.partitionBy(*key))
-    return w.withColumn("before", before).withColumn("total", total).where(F.col("before") * 3 <= F.col("total")).select(*key, "w")
+    return w.withColumn("before", before).withColumn("total", total).where(F.col("before") <= F.col("total") * (1 - part) + 1e-6).select(*key, "w")
+
+
+_SKETCH = 4
+
+
+def _letters(values: pa.Array) -> pa.Array:
+    """Length of the distinct words, joined, and 256 bits: each letter, with its number among equal letters, turns one."""
+    out = []
+    for t in values.to_pylist():
+        ws = " ".join(sorted(set((t or "").split())))
+        bits, times = [0] * _SKETCH, dict[str, int]()
+        for c in ws:
+            times[c] = times.get(c, 0) + 1
+            bit = crc32(f"{c}{times[c]}".encode()) % (64 * _SKETCH)
+            bits[bit // 64] ^= 1 << bit % 64
+        out.append([len(ws), *[x - (1 << 64) if x >> 63 else x for x in bits]])
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def _similar(left: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
-    """Titles similar to what is left, among pairs that share a rare word of either side. How far the shared words cover
-    each side is known in the JVM; only pairs of lengths that allow it are compared letter by letter."""
+    """The most similar title of each phrase, of all that reach the cutoff: the smallest of equally similar ones.
+
+    A score is reached either by the words that both sides share or by all letters. Shared words that reach it are
+    cutoff / (200 - cutoff) of a side, so one of them is a rare word of that side. By letters, at most (1 - cutoff / 100) of
+    both lengths may stand on one side only. Letters on one side only are at least as many as the bits in which the
+    sketches differ, so the join passes by no pair that reaches the cutoff; only what it finds is compared letter by letter.
+    """
+    part = cutoff / (200 - cutoff)
     word = lambda df, c, key: df.select(*key, F.explode(F.array_distinct(F.split(c, " "))).alias("w"))
     titles = word(choices, "title", ["title", "id"])
     frequency = written(titles.groupBy("w").agg(F.count("*").alias("df")), "title-words")
-    one = word(left, "c", ["phrase", "c"]).join(_rare_words(choices, "title", ["title", "id"], frequency), "w")
-    two = _rare_words(left, "c", ["phrase", "c"], frequency).join(titles, "w")
+    one = word(left, "c", ["phrase", "c"]).join(_rare_words(choices, "title", ["title", "id"], frequency, part), "w")
+    two = _rare_words(left, "c", ["phrase", "c"], frequency, part).join(titles, "w")
     pairs = one.select("phrase", "c", "title", "id").unionByName(two.select("phrase", "c", "title", "id")).distinct()
     a, b = F.array_distinct(F.split("c", " ")), F.array_distinct(F.split("title", " "))
     size = lambda ws: F.length(F.array_join(ws, " "))
     pairs = pairs.select("*", size(F.array_intersect(a, b)).alias("n"), size(a).alias("n_a"), size(b).alias("n_b"))
     covered = F.when((F.col("n") == F.col("n_a")) | (F.col("n") == F.col("n_b")), 100.0).otherwise(200.0 * F.col("n") / (F.col("n") + F.least("n_a", "n_b")))
-    possible = (200.0 * F.least("n_a", "n_b") / (F.col("n_a") + F.col("n_b")) >= cutoff) & (covered < 100)
+    sure = pairs.select("phrase", "id", "title", covered.alias("score"))
 
     @F.arrow_udf("double")
     def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([token_set_ratio(p, q) for p, q in zip(x.to_pylist(), y.to_pylist())], pa.float64())
 
-    pairs = pairs.withColumn("covered", covered).withColumn("possible", possible).where(F.col("possible") | (F.col("covered") >= cutoff))
-    sure = pairs.where("NOT possible").select("phrase", "id", "title", F.col("covered").alias("score"))
-    asked = pairs.where("possible").select("phrase", "id", "title", ratio("c", "title").alias("score"))
+    letters = F.arrow_udf(_letters, "array<bigint>")
+    described = lambda df, c, *names: df.select(*names, c, letters(c).alias("l")).select(*names, c, F.col("l")[0].alias("size"), *[F.col("l")[i + 1].alias(f"s{i}") for i in range(_SKETCH)])
+    x, y = written(described(left, "c", "phrase"), "phrase-letters"), written(described(choices, "title", "id"), "title-letters")
+    # a row of a phrase for each length that a title may have
+    sizes = F.sequence(F.ceil(F.col("size") * part - 1e-6), F.floor(F.col("size") / part + 1e-6))
+    x = x.where("size > 0").select("*", F.explode(sizes).alias("other"))
+    apart = F.expr(" + ".join(f"bit_count(a.s{i} ^ b.s{i})" for i in range(_SKETCH)))
+    near = (F.col("a.other") == F.col("b.size")) & (apart <= (1 - cutoff / 100) * (F.col("a.size") + F.col("b.size")) + 1e-6)
+    asked = x.alias("a").join(y.alias("b"), near).select("a.phrase", "b.id", "b.title", ratio("a.c", "b.title").alias("score"))
     scored = sure.unionByName(asked).where(F.col("score") >= cutoff)
     top = scored.groupBy("phrase").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "title")).alias("m"))
     return top.select("phrase", "m.id", F.round(F.col("m.score") / 100, 3).alias("confidence"))
