@@ -69,7 +69,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_clean_files(spark: SparkSession, d: str) -> DataFrame:
     (files,) = tables(spark, d, "legal_files")
     cases = residue.bad_statuses(files, "row_id", "access_status", residue.FILE_STATUSES)
-    return residue.without(files, cases, "row_id").select("row_id", "id", "access_status")
+    return residue.without(files, cases, "row_id")
+
+
+def p4_clean_nodes(spark: SparkSession, d: str) -> DataFrame:
+    (nodes,) = tables(spark, d, "nodes")
+    cases = residue.residue_texts(nodes, "row_id", "text", "url").select("row_id")
+    return residue.without(nodes, cases.unionByName(residue.bad_statuses(nodes, "row_id", "access_status", residue.NODE_STATUSES).select("row_id")), "row_id")
 
 
 CUT_TABLES = ("nodes", "text_chunks", "document_chunks")
@@ -152,7 +158,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_redacted, p2_found, p2_groups, p3_found, p4_found, p4_clean_files, p5_found, p5_pieces,
+        p1_found, p1_redacted, p2_found, p2_groups, p3_found, p4_found, p4_clean_files, p4_clean_nodes, p5_found, p5_pieces,
         p6_found, p6_consistent, p6_name_groups, p7_packed, p7_use, p8_found, p8_spans, p9_found, p9_areas, p9_composition,
     )
 }

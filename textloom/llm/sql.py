@@ -6,6 +6,6 @@ SQL: dict[str, str] = {
         for t in ("nodes", "text_chunks", "document_chunks")
     ),
     "p4_clean_files": """
-        SELECT row_id, id, access_status FROM legal_files
+        SELECT * FROM legal_files
         WHERE access_status IS NULL OR trim(access_status, E' \\t\\r\\n') IN ('', 'public', 'subscribed', 'paywalled', 'unauthorized', 'missing_file')""",
 }
