@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from textloom.llm import near_duplicates as N
@@ -10,7 +11,7 @@ def brute(rows, fields, k, threshold):
     sets = {}
     for i, *ts in rows:
         ws = [w for t in ts for w in words(t)]
-        sets[i] = {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)}
+        sets[i] = {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)} or ({tuple(ws)} if ws else set())
     ids = sorted(sets)
     return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
@@ -27,7 +28,7 @@ def test_pairs_like_brute_force(spark, k, threshold):
             for _ in range(e):
                 w[r.randrange(60)] = r.choice(vocabulary)
             rows.append((len(rows) + 1, " ".join(w[:30]), " ".join(w[30:])))
-    rows += [(901, None, None), (902, "", "یک"), (903, None, " ".join(base[0]))]
+    rows += [(901, None, None), (902, "", "یک"), (903, None, " ".join(base[0])), (904, "یک", None), (905, "یک", "دو"), (906, "", "!!")]
     df = spark.createDataFrame(rows, "row_id long, q string, a string").withColumnRenamed("q", "key")
     pairs, copies = N.similar_pairs(df, "row_id", ["key", "a"], k, threshold)
     got = [tuple(x) for x in N.all_pairs(pairs, copies).collect()]
@@ -47,7 +48,32 @@ def test_all_copies_and_empty(spark):
     assert N.all_pairs(pairs, copies).count() == 0
 
 
+def test_crowded_prefixes_grow(spark, monkeypatch):
+    """Many records that share a template crowd the short prefixes: they go on with longer ones, and no link is lost."""
+    monkeypatch.setattr(N, "CROWDED", 4)
+    monkeypatch.setattr(N, "MOST_HASHES", 1700)
+    r = random.Random(11)
+    template = [f"قالب{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = [f"خاص{r.randrange(10_000)}" for _ in range(46)]
+        rows.append((len(rows), " ".join(template + own)))
+        if i % 3 == 0:
+            rows.append((len(rows), " ".join(template + own[:-3] + ["دیگر"])))
+    df = spark.createDataFrame(rows, "row_id long, t string")
+    levels = []
+    labels = N._labels
+    monkeypatch.setattr(N, "_labels", lambda depth, *x: levels.append(depth) or labels(depth, *x))
+    pairs, copies = N.similar_pairs(df, "row_id", ["t"], 3, 0.5)
+    got = {tuple(x) for x in N.all_pairs(pairs, copies).collect()}
+    want = brute(rows, ["t"], 3, 0.5)
+    assert max(levels) == N.longest(0.5) == 6 and got <= want and len(got) >= 0.98 * len(want) >= 49
+
+
 def test_parameters():
+    assert N.longest(0.5) == 7 and N.longest(0.8) >= 16
+    a, b = N.signature(np.arange(1, 90, dtype=np.uint64) << np.uint64(40), 4, 20), N.signature(np.arange(1, 90, dtype=np.uint64) << np.uint64(40), 6, 30)
+    assert (a.reshape(20, 4) == b.reshape(30, 6)[:20, :4]).all()
     assert N.trees_for(3, 0.5) == 32
     assert N.least_agreement(0.5) < 192
 

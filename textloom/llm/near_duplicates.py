@@ -1,19 +1,22 @@
 """Problem 2: near-duplicate records by a MinHash LSH forest and exact verification.
 
-Every record gets ``MOST_TREES`` label strings of ``DEEPEST`` MinHash values. Records that share a prefix of a label are
-candidates; the prefix begins at full length and is shortened. Each length k needs ``trees_for(k)`` trees for the target
-recall at the threshold; of these combinations the one that costs least on this collection is used. Its collisions are
-counted over all records on the first trees. Candidates must also agree in a 256-bit sketch (one bit per MinHash value),
+A tree of the forest is a trie over labels, sequences of MinHash values. Prefixes of length k need ``trees_for(k)`` trees
+for the target recall at the threshold. Every record's prefix is adapted on its own: it stays short where few records
+share it, and where more than ``CROWDED`` do, these records alone go on with prefixes one longer, in as many trees as that
+length needs. Two records that share a crowded prefix are both among those, so no link is lost by it; at the last length,
+set by ``MOST_HASHES`` values a record, prefixes are taken however crowded. Candidates must also agree in a 256-bit sketch
+(one bit per MinHash value, 4.5 deviations below what a pair at the threshold has: one such pair in 300,000 is lost),
 which the join condition tests inside the JVM. What is left is verified exactly on the records' own shingles.
 
 Exact copies (equal shingle sets) are one record until the end, so a group of copies that holds a third of all rows is
-one label string per tree; only the final pairs list its members.
+one label per tree; only the final pairs list its members. A record with fewer than k words has one shingle, all its words.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,52 +25,62 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .words import gram_hashes, mix, runs, word_hashes, words
+from .words import gram_hashes, mix, runs, word_hashes
 
-DEEPEST = 4
 #: Chance that a pair exactly at the threshold is a candidate; pairs above it are found more surely.
 TARGET_RECALL = 0.985
-#: What a row of a tree costs in the join, in comparisons of two sketches.
-ROW_COST = 40
+#: Length of the first prefixes, and records sharing a prefix from which it is made longer.
+SHORTEST, CROWDED = 2, 64
+#: MinHash values of a record's longest labels; those of every record are for prefixes up to length STORED.
+MOST_HASHES, STORED = 4096, 4
 #: Bits of the sketch; pairs at J agree in (1 + J) / 2 of them.
 BITS = 256
-COUNTED_TREES = 2
 
 
 def trees_for(depth: int, threshold: float, recall: float = TARGET_RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
 
 
-def least_agreement(threshold: float, bits: int = BITS, deviations: float = 2.6) -> int:
-    """Bits in which a pair at the threshold agrees, less some standard deviations (2.6: lost once in 200)."""
+def least_agreement(threshold: float, bits: int = BITS, deviations: float = 4.5) -> int:
+    """Bits in which a pair at the threshold agrees, less some standard deviations."""
     p = (1 + threshold) / 2
     return math.floor(bits * p - deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (x[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (x[n:] >> np.uint64(32)).astype(np.uint32)
+def longest(threshold: float, recall: float = TARGET_RECALL) -> int:
+    """The last length of a prefix: as long as its trees stay within MOST_HASHES values."""
+    k = SHORTEST
+    while (k + 1) * trees_for(k + 1, threshold, recall) <= MOST_HASHES:
+        k += 1
+    return k
 
 
-def signature(grams: np.ndarray, n: int, part: int = 2048) -> np.ndarray:
-    """n MinHash values of a non-empty set of 64-bit hashes."""
-    a, b = _seeds(n)
+def _seeds(tree: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two multipliers of the hash function at a place of a tree's label."""
+    x = mix((tree.astype(np.uint64) << np.uint64(16)) + place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    y = mix(x)
+    return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (y >> np.uint64(32)).astype(np.uint32)
+
+
+def signature(grams: np.ndarray, depth: int, trees: int, part: int = 2048) -> np.ndarray:
+    """trees x depth MinHash values of a non-empty set of 64-bit hashes; more trees or places leave the others as they are."""
+    a, b = _seeds(*(x.ravel() for x in np.mgrid[:trees, :depth]))
     x = (grams >> np.uint64(32)).astype(np.uint32)
-    out = np.full(n, 0xFFFFFFFF, np.uint32)
+    out = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), part):
         np.minimum(out, (a[:, None] * x[None, i : i + part] + b[:, None]).min(axis=1), out=out)
     return out
 
 
 def shingles(texts: list[str | None], k: int) -> np.ndarray:
-    """The sorted set of hashes of k consecutive words of the texts joined by spaces, NULL as ''."""
+    """The sorted set of hashes of k consecutive words of the texts joined by spaces, NULL as ''; of fewer words, one hash of all."""
     rs: list[str] = []
     for t in texts:
         rs += runs(t)
-    return np.unique(gram_hashes(word_hashes(rs), k))
+    return np.unique(gram_hashes(word_hashes(rs), min(k, len(rs)) or 1))
 
 
-def _describe(k: int, hashes: int, schema: pa.Schema):
+def _describe(k: int, depth: int, trees: int, schema: pa.Schema):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, *columns = [c.to_pylist() for c in part.columns]
@@ -76,7 +89,7 @@ def _describe(k: int, hashes: int, schema: pa.Schema):
                 g = shingles(texts, k)
                 if i is None or not len(g):
                     continue
-                sig = signature(g, hashes)
+                sig = signature(g, depth, trees)
                 bits = np.packbits((mix(sig[:BITS].astype(np.uint64)) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
                 same = [np.bitwise_xor.reduce(mix(g)), mix(g * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(g))]
                 rows.append((i, *np.array(same, np.uint64).view(np.int64).tolist(), *bits.tolist(), sig.tobytes()))
@@ -88,25 +101,27 @@ def _describe(k: int, hashes: int, schema: pa.Schema):
 _SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
-def described(df: DataFrame, id_column: str, fields: list[str], k: int, hashes: int) -> DataFrame:
-    """id, two hashes of the whole shingle set, sketch, MinHash values of every record that has a shingle."""
+def described(df: DataFrame, id_column: str, fields: list[str], k: int, depth: int, trees: int) -> DataFrame:
+    """id, two hashes of the whole shingle set, sketch, MinHash values (trees x depth) of every record that has a shingle."""
     names = ["id", "h0", "h1", *_SKETCH]
     schema = pa.schema([(n, pa.int64()) for n in names] + [("sig", pa.binary())])
     slim = df.select(F.col(id_column).cast("long").alias("id"), *[F.col(f).alias(f"t{i}") for i, f in enumerate(fields)])
-    return slim.mapInArrow(_describe(k, hashes, schema), ", ".join(f"{n} long" for n in names) + ", sig binary")
+    return slim.mapInArrow(_describe(k, depth, trees, schema), ", ".join(f"{n} long" for n in names) + ", sig binary")
 
 
-def _labels(depth: int, trees: int, first: int = 0):
+def _labels(depth: int, trees: int, stored: int):
+    """Keys of the prefixes of a length in each of the first trees, from signatures of labels of length ``stored``."""
     fields = ["key", "id", *_SKETCH]
     schema = pa.schema([(n, pa.int64()) for n in fields])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 60_000 // trees)
         for part in parts:
-            for at in range(0, part.num_rows, 2000):
-                p = part.slice(at, 2000)
-                sig = np.frombuffer(b"".join(p.column("sig").to_pylist()), np.uint32).reshape(p.num_rows, -1)
-                sig = sig[:, : (first + trees) * DEEPEST].reshape(p.num_rows, first + trees, DEEPEST)[:, first:, :depth].astype(np.uint64)
-                key = np.broadcast_to(mix(np.arange(first, first + trees, dtype=np.uint64) + np.uint64(1)), (p.num_rows, trees)).copy()
+            for at in range(0, part.num_rows, step):
+                p = part.slice(at, step)
+                sig = np.frombuffer(b"".join(p.column("sig").to_pylist()), np.uint32).reshape(p.num_rows, -1, stored)
+                sig = sig[:, :trees, :depth].astype(np.uint64)
+                key = np.broadcast_to(mix(np.arange(trees, dtype=np.uint64) + np.uint64(1)), (p.num_rows, trees)).copy()
                 for i in range(depth):
                     key = mix(key ^ sig[:, :, i]) + np.uint64(i)
                 own = [np.repeat(p.column(n).to_numpy(), trees) for n in fields[1:]]
@@ -115,19 +130,32 @@ def _labels(depth: int, trees: int, first: int = 0):
     return run, ", ".join(f"{n} long" for n in fields)
 
 
-def choose(records: DataFrame, threshold: float, recall: float) -> tuple[int, int]:
-    """(depth, trees) of least cost; collisions are counted over all records on the first trees."""
-    costs = {}
-    for depth in range(DEEPEST, 1, -1):
-        function, schema = _labels(depth, COUNTED_TREES)
-        sizes = records.mapInArrow(function, schema).groupBy("key").count()
-        row = sizes.agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
-        rows, pairs = (float(x or 0) / COUNTED_TREES for x in row)
-        trees = trees_for(depth, threshold, recall)
-        costs[trees * (rows * ROW_COST + pairs)] = depth, trees
-        if pairs > rows * ROW_COST:
-            break  # shorter prefixes only collide more
-    return costs[min(costs)]
+def forest_candidates(records: DataFrame, again: Callable[[DataFrame, int, int], DataFrame], threshold: float, recall: float) -> DataFrame:
+    """(a, b), a < b, of records that share a prefix, by the walk described above.
+
+    records: id, sketch and sig (labels of length STORED); again(ids, depth, trees) describes some records with longer ones.
+    """
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _agree(least_agreement(threshold))
+    found, deep, last = [], records, longest(threshold, recall)
+    for depth in range(SHORTEST, last + 1):
+        trees, stored = trees_for(depth, threshold, recall), min(STORED, last)
+        if depth > stored:
+            deep, stored = written(again(deep.select("id"), depth, trees), "longer-labels"), depth
+        labels = deep.mapInArrow(*_labels(depth, trees, stored))
+        crowded = None
+        if depth < last:
+            crowded = written(labels.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"), "crowded")
+            if crowded.head(1):
+                deeper = written(labels.join(crowded, "key", "left_semi").select("id").distinct(), "deeper")
+                labels = labels.join(crowded, "key", "left_anti")
+            else:
+                crowded = None
+        pairs = labels.alias("a").join(labels.alias("b"), near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        found.append(pairs)
+        if crowded is None:
+            break
+        deep = deep.join(deeper, "id", "left_semi")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _agree(least: int) -> Column:
@@ -159,7 +187,7 @@ def similar_pairs(df: DataFrame, id_column: str, fields: list[str], k: int = 5,
     """Pairs (a, b), a < b, of class representatives with Jaccard >= threshold, and membership (rep, id) of every record.
 
     A class is a set of records with one set of k-word shingles; its representative is the smallest id. Records without
-    a shingle (NULL, '', fewer than k words) or without an id have no class and no pair. Ids must be unique; rows repeated under other
+    a word (NULL, '') or without an id have no class and no pair; those of fewer than k words link with equal ones. Ids must be unique; rows repeated under other
     ids are members of one class. Columns beyond id and fields are not read.
     """
     return _similar(df, id_column, fields, k, threshold, recall)[:2]
@@ -167,17 +195,16 @@ def similar_pairs(df: DataFrame, id_column: str, fields: list[str], k: int = 5,
 
 def _similar(df: DataFrame, id_column: str, fields: list[str], k: int, threshold: float, recall: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``similar_pairs``, and the described records."""
-    hashes = max(BITS, DEEPEST * max(trees_for(d, threshold, recall) for d in range(2, DEEPEST + 1)))
-    all_records = written(described(df, id_column, fields, k, hashes), "described")
+    stored = min(STORED, longest(threshold, recall))
+    trees = max(-(-BITS // stored), max(trees_for(d, threshold, recall) for d in range(SHORTEST, stored + 1)))
+    all_records = written(described(df, id_column, fields, k, stored, trees), "described")
     members = all_records.groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     member_ids = all_records.select("id", "h0", "h1").join(members.select("h0", "h1", "rep"), ["h0", "h1"])
     copies = written(member_ids.select("rep", "id"), "copies")
     records = all_records.join(copies.where("id != rep").select("id"), "id", "left_anti")
-    depth, trees = choose(records, threshold, recall)
-    function, schema = _labels(depth, trees)
-    labels = records.mapInArrow(function, schema)
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _agree(least_agreement(threshold))
-    candidates = labels.alias("a").join(labels.alias("b"), near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    texts = df.select(F.col(id_column).cast("long").alias("id"), *[F.col(f).alias(f"t{i}") for i, f in enumerate(fields)])
+    again = lambda ids, depth, n: described(texts.join(ids, "id", "left_semi"), "id", texts.columns[1:], k, depth, max(n, -(-BITS // depth)))
+    candidates = forest_candidates(records, again, threshold, recall)
     side = lambda x: df.select(F.col(id_column).cast("long").alias(x), *[F.col(f).alias(f"{x}{i}") for i, f in enumerate(fields)])
     full = candidates.join(side("a"), "a").join(side("b"), "b")
     full = full.select("a", "b", *[f"{x}{i}" for x in "ab" for i in range(len(fields))])
@@ -199,15 +226,14 @@ def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     return between.unionByName(within).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
-def _word_hash(schema: pa.Schema):
-    """id, two hashes of the words of records; of those without a word, of the texts themselves."""
+def _text_hash(schema: pa.Schema):
+    """id, two hashes of the texts of records without a word."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, *columns = [c.to_pylist() for c in part.columns]
             rows = []
             for i, texts in zip(ids, zip(*columns)):
-                ws = words(" ".join(t or "" for t in texts))
-                whole = "w" + " ".join(ws) if ws else "t" + "\0".join(t or "" for t in texts)
+                whole = "\0".join(t or "" for t in texts)
                 rows.append((i, *np.array([xxhash.xxh3_64_intdigest(whole, x) for x in (0, 1)], np.uint64).view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], schema=schema)
 
@@ -243,7 +269,7 @@ def duplicate_groups(df: DataFrame, id_column: str, fields: list[str], k: int =
     """(id, class_id, n_links, group_id): every record with text, its class, how many other classes that class links to,
     and the group: the smallest id among all records that links of classes connect it with.
 
-    Records with fewer than k words have no links; those of the same words are one class.
+    Records without a word have no links; those of equal texts are one class.
     """
     pairs, copies, described_records = _similar(df, id_column, fields, k, threshold)
     pairs = written(pairs, "pairs")
@@ -251,7 +277,7 @@ def duplicate_groups(df: DataFrame, id_column: str, fields: list[str], k: int =
     groups = components(pairs).select(F.col("id").alias("class_id"), F.col("group").alias("group_id"))
     texts = df.where(F.length(F.concat_ws("", *fields)) > 0).select(F.col(id_column).cast("long").alias("id"), *fields)
     short = texts.join(described_records.select("id"), "id", "left_anti").where("id IS NOT NULL")
-    short = written(short.mapInArrow(_word_hash(pa.schema([(n, pa.int64()) for n in ("id", "h0", "h1")])), "id long, h0 long, h1 long"), "short")
+    short = written(short.mapInArrow(_text_hash(pa.schema([(n, pa.int64()) for n in ("id", "h0", "h1")])), "id long, h0 long, h1 long"), "short")
     same = short.groupBy("h0", "h1").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = copies.unionByName(short.join(same, ["h0", "h1"]).select("rep", "id"))
     classed = texts.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))

@@ -52,6 +52,11 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_groups(consultations, "row_id", ["question", "answer"], 5, 0.8).withColumnRenamed("id", "row_id")
 
 
+def p2_raw_groups(spark: SparkSession, d: str) -> DataFrame:
+    (consultations,) = tables(spark, d, "consultations")
+    return near_duplicates.duplicate_groups(consultations, "row_id", ["raw_text"], 5, 0.8).withColumnRenamed("id", "row_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(tables(spark, d, "consultations")[0])
 
@@ -158,7 +163,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_redacted, p2_found, p2_groups, p3_found, p4_found, p4_clean_files, p4_clean_nodes, p5_found, p5_pieces,
+        p1_found, p1_redacted, p2_found, p2_groups, p2_raw_groups, p3_found, p4_found, p4_clean_files, p4_clean_nodes, p5_found, p5_pieces,
         p6_found, p6_consistent, p6_name_groups, p7_packed, p7_use, p8_found, p8_spans, p9_found, p9_areas, p9_composition,
     )
 }
