@@ -50,7 +50,7 @@ def test_all_copies_and_empty(spark):
 
 def test_crowded_prefixes_grow(spark, monkeypatch):
     """Many records that share a template crowd the short prefixes: they go on with longer ones, and no link is lost."""
-    monkeypatch.setattr(N, "CROWDED", 4)
+    monkeypatch.setattr(N, "MOST_COLLISIONS", 60)
     monkeypatch.setattr(N, "MOST_HASHES", 1700)
     r = random.Random(11)
     template = [f"قالب{i}" for i in range(40)]

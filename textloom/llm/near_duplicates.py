@@ -1,12 +1,12 @@
 """Problem 2: near-duplicate records by a MinHash LSH forest and exact verification.
 
 A tree of the forest is a trie over labels, sequences of MinHash values. Prefixes of length k need ``trees_for(k)`` trees
-for the target recall at the threshold. Every record's prefix is adapted on its own: it stays short where few records
-share it, and where more than ``CROWDED`` do, these records alone go on with prefixes one longer, in as many trees as that
-length needs. Two records that share a crowded prefix are both among those, so no link is lost by it; at the last length,
-set by ``MOST_HASHES`` values a record, prefixes are taken however crowded. Candidates must also agree in a 256-bit sketch
-(one bit per MinHash value, 4.5 deviations below what a pair at the threshold has: one such pair in 300,000 is lost),
-which the join condition tests inside the JVM. What is left is verified exactly on the records' own shingles.
+for the target recall at the threshold. Every record's prefix is adapted on its own: it stays short where at most
+``MOST_COLLISIONS`` others share it over all of its trees; beyond that the record goes on with a prefix one longer, in as
+many trees as that length needs. Two records meet at the length of the one that stays shorter, so no link is lost by it; at
+the last length, set by ``MOST_HASHES`` values a record, prefixes are taken however crowded. Candidates must also agree in a
+256-bit sketch (one bit per MinHash value, 4.5 deviations below what a pair at the threshold has: one such pair in 300,000 is
+lost), which the join condition tests inside the JVM. What is left is verified exactly on the records' own shingles.
 
 Exact copies (equal shingle sets) are one record until the end, so a group of copies that holds a third of all rows is
 one label per tree; only the final pairs list its members. A record with fewer than k words has one shingle, all its words.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from .words import gram_hashes, mix, runs, word_hashes
 
 #: Chance that a pair exactly at the threshold is a candidate; pairs above it are found more surely.
 TARGET_RECALL = 0.985
-#: Length of the first prefixes, and records sharing a prefix from which it is made longer.
-SHORTEST, CROWDED = 2, 64
+#: Length of the first prefixes, and collisions of a record from which its prefix is made longer.
+SHORTEST, MOST_COLLISIONS = 2, 8192
 #: MinHash values of a record's longest labels; those of every record are for prefixes up to length STORED.
 MOST_HASHES, STORED = 4096, 4
 #: Bits of the sketch; pairs at J agree in (1 + J) / 2 of them.
@@ -55,8 +55,10 @@ def longest(threshold: float, recall: float = TARGET_RECALL) -> int:
     return k
 
 
-def _seeds(tree: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two multipliers of the hash function at a place of a tree's label."""
+@lru_cache(maxsize=8)
+def _seeds(depth: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two multipliers of the hash function at each place of each tree's label."""
+    tree, place = (x.ravel() for x in np.mgrid[:trees, :depth])
     x = mix((tree.astype(np.uint64) << np.uint64(16)) + place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     y = mix(x)
     return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (y >> np.uint64(32)).astype(np.uint32)
@@ -64,7 +66,7 @@ def _seeds(tree: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def signature(grams: np.ndarray, depth: int, trees: int, part: int = 2048) -> np.ndarray:
     """trees x depth MinHash values of a non-empty set of 64-bit hashes; more trees or places leave the others as they are."""
-    a, b = _seeds(*(x.ravel() for x in np.mgrid[:trees, :depth]))
+    a, b = _seeds(depth, trees)
     x = (grams >> np.uint64(32)).astype(np.uint32)
     out = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), part):
@@ -135,26 +137,27 @@ def forest_candidates(records: DataFrame, again: Callable[[DataFrame, int, int],
 
     records: id, sketch and sig (labels of length STORED); again(ids, depth, trees) describes some records with longer ones.
     """
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & _agree(least_agreement(threshold))
-    found, deep, last = [], records, longest(threshold, recall)
+    near = (F.col("a.key") == F.col("b.key")) & _agree(least_agreement(threshold))
+    meet = lambda x, y, also: x.alias("a").join(y.alias("b"), near & also).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    found, here, last = [], records, longest(threshold, recall)
     for depth in range(SHORTEST, last + 1):
         trees, stored = trees_for(depth, threshold, recall), min(STORED, last)
         if depth > stored:
-            deep, stored = written(again(deep.select("id"), depth, trees), "longer-labels"), depth
-        labels = deep.mapInArrow(*_labels(depth, trees, stored))
-        crowded = None
+            here, stored = written(again(here.select("id"), depth, trees), "longer-labels"), depth
+        labels = lambda df: df.mapInArrow(*_labels(depth, trees, stored))  # noqa: E731, B023
+        deeper = None
         if depth < last:
-            crowded = written(labels.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"), "crowded")
+            # what crowds a record are prefixes with more than its share of the collisions
+            crowded = labels(here).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_COLLISIONS / trees)
+            crowded = written(crowded, "crowded")
             if crowded.head(1):
-                deeper = written(labels.join(crowded, "key", "left_semi").select("id").distinct(), "deeper")
-                labels = labels.join(crowded, "key", "left_anti")
-            else:
-                crowded = None
-        pairs = labels.alias("a").join(labels.alias("b"), near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        found.append(pairs)
-        if crowded is None:
+                deeper = labels(here).join(crowded, "key").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_COLLISIONS).select("id")
+                deeper = written(deeper, "deeper")
+        if deeper is None or not deeper.head(1):
+            found.append(meet(labels(here), labels(here), F.col("a.id") < F.col("b.id")))
             break
-        deep = deep.join(deeper, "id", "left_semi")
+        stay, here = here.join(deeper, "id", "left_anti"), written(here.join(deeper, "id", "left_semi"), "going-on")
+        found += [meet(labels(stay), labels(stay), F.col("a.id") < F.col("b.id")), meet(labels(stay), labels(here), F.lit(True))]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
