@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import packing as P
 
@@ -44,6 +45,24 @@ def test_little_waste():
     sizes = np.clip(r.lognormal(6, 0.6, 5000).astype(int), 1, 8192)
     plan = P.make_plan({int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}, 8192)
     assert plan.containers <= 1.02 * -(-sizes.sum() // 8192)
+    assert plan.containers <= P.make_plan({int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True))}, 8192, program=False).containers
+    assert plan.by_program >= 0.8 * sizes.sum()
+
+
+def test_program_beats_best_fit_where_pairs_matter():
+    histogram = {51: 300, 27: 300, 26: 300, 23: 300, 46: 300, 21: 300}
+    total = sum(s * n for s, n in histogram.items())
+    plan, plain = P.make_plan(dict(histogram), 100), P.make_plan(dict(histogram), 100, program=False)
+    assert -(-total // 100) <= plan.containers <= plain.containers and not plan.left
+
+
+def test_hot_length_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 20)
+    df = spark.createDataFrame([(i, 40) for i in range(90)] + [(i, 7) for i in range(90, 100)] + [(200, 1000)], "doc_id long, n long").withColumn("salts", F.lit(1))
+    load = {}
+    for r in P.pack(df, "doc_id", "n", 100).collect():
+        load[r.container_id] = load.get(r.container_id, 0) + r.n
+    assert max(load.values()) <= 100 and sum(load.values()) == 4670
 
 
 def test_pack(spark):

@@ -1,11 +1,11 @@
 """Problem 7: filling containers of fixed capacity, by a configuration linear program over the length histogram.
 
-Only the histogram of lengths reaches the driver: at most one number per length up to the capacity. Lengths over
-``SMALL`` of the capacity are grouped and rounded up; the program "fewest containers such that every group is covered" over
-all ways to fill one container is solved by multiplicative weights, whose pricing step is a knapsack dynamic program.
-Rounded down, its solution is a plan "m containers with these counts of these groups". What rounding leaves and the small
-items then top up the room that is really left, best fit, still on histograms. Items find their place in the plan by
-their rank among the items of their length, so no task ever holds a whole length or container.
+Only the histogram of lengths reaches the driver: at most one number per length up to the capacity. Lengths are grouped
+and rounded up; the program "fewest containers such that every group is covered" over all ways to fill one container is
+solved by multiplicative weights, whose pricing step is a knapsack dynamic program. Its solution, scaled so that it holds
+``LAID`` of the tokens there are and rounded along its running total, is a plan "m containers with these counts of these
+groups". What rounding leaves tops up the room that is really left, best fit, still on histograms. Items find their
+place in the plan by their rank among the items of their length, so no task ever holds a whole length or container.
 
 An item over the capacity is cut: full containers, and a rest that is an item. Items of size 0 take no room and lie in
 container 0. NULL texts count as ''. Repeated rows are items of their own.
@@ -20,7 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -28,10 +28,12 @@ from ..session import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Items up to this share of the capacity fill what room the program's plan leaves.
-SMALL = 1 / 24
-GROUPS, ROUNDS, GRID, STEP = 96, 400, 1024, 0.25
-SALTS = 64
+#: Groups of lengths, rounds of the program, units of the capacity in its pricing, and the share by which a round covers a group at most.
+GROUPS, ROUNDS, GRID, STEP = 96, 400, 1024, 0.05
+#: Share of the program's containers that are laid; with all of them, lengths that it covers too often would leave room.
+LAID = 0.9
+#: Items of one length that one task numbers, about.
+RANKED = 100_000
 _counters: dict[str, object] = {}
 
 
@@ -87,13 +89,14 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
-    """(counts of sizes in a container, number of such containers): the cover of the demand by multiplicative weights, scaled to fit."""
+    """(counts of sizes in a container, number of such containers): the cover of the demand by multiplicative weights, scaled
+    to the volume of the demand."""
     if not len(sizes):
         return []
     unit = max(1, -(-capacity // GRID))
     grid_sizes, grid = -(-sizes // unit), capacity // unit
     grid_sizes = np.minimum(grid_sizes, grid)
-    weights = np.ones(len(sizes))
+    weights = sizes * demand / (sizes * demand).max()  # prices by size: what is optimal if nothing is wasted
     used: dict[bytes, list] = {}
     covered = np.zeros(len(sizes))
     for _ in range(rounds):
@@ -107,7 +110,10 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         covered += amount * gain
         weights *= np.exp(-amount * gain)
         weights /= weights.max()
-    scale = 1 / max(covered.max(), 1e-9)  # no size more often than it is there; what isn't covered is topped up later
+        if covered.min() >= 1:
+            break
+    volume = sizes * demand
+    scale = volume.sum() / max(float((covered * volume).sum()), 1e-9)
     return [(pick, amount * scale) for pick, amount in used.values()]
 
 
@@ -121,6 +127,7 @@ class Plan:
         self.blocks: list[list] = []  # first container, containers, room left in each
         self.places: list[tuple[int, int, int, int, int]] = []  # length, first rank, end rank, first container, items per container
         self.containers = 0
+        self.by_program = 0  # tokens that the program's configurations place
 
     def open(self, n: int) -> int:
         self.blocks.append([self.containers, n, self.capacity])
@@ -167,21 +174,25 @@ def _fill(plan: Plan, block: int, lengths: list[int]) -> None:
             lengths.pop(i - 1)
 
 
-def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """A plan for items of 1 … capacity, from how many there are of each length."""
+def make_plan(histogram: dict[int, int], capacity: int, program: bool = True) -> Plan:
+    """A plan for items of 1 … capacity, from how many there are of each length; without the program, by best fit alone."""
     plan = Plan(capacity, histogram)
-    small = capacity * SMALL
-    large = np.array(sorted(s for s in plan.left if s > small), np.int64)
-    if len(large):
-        n = np.array([plan.left[s] for s in large], np.int64)
+    sizes = np.array(sorted(plan.left), np.int64)
+    if len(sizes) and program:
+        n = np.array([plan.left[s] for s in sizes.tolist()], np.int64)
         volume = np.cumsum(n)
         group = np.minimum((volume - 1) * GROUPS // volume[-1], GROUPS - 1)  # groups of equal numbers of items
-        tops = np.array([large[group == g].max() for g in np.unique(group)])
+        tops = np.array([sizes[group == g].max() for g in np.unique(group)])
         demand = np.array([n[group == g].sum() for g in np.unique(group)], float)
-        members = [[int(s) for s in large[group == g]] for g in np.unique(group)]
+        members = [sizes[group == g].tolist() for g in np.unique(group)]
+        total, laid = 0.0, 0
         for pick, amount in sorted(configurations(tops, demand, capacity), key=lambda x: -x[1]):
-            pick[np.nonzero(pick)[0][0]] -= 1  # the smallest item is chosen last, to fit the room that is really left
-            _lay(plan, pick, int(amount), members)
+            total += LAID * amount
+            if pick.sum() > 1:
+                pick[np.nonzero(pick)[0][0]] -= 1  # the smallest item is chosen last, to fit the room that is really left
+            _lay(plan, pick, round(total) - laid, members)
+            laid = round(total)
+    plan.by_program = sum((b - a) * s for s, a, b, _, _ in plan.places)
     lengths = sorted(plan.left)
     for block in range(len(plan.blocks)):
         _fill(plan, block, lengths)
@@ -220,12 +231,12 @@ def _lay(plan: Plan, pick: np.ndarray, amount: int, members: list[list[int]]) ->
         pending.append((n, ([(g, k - per)] if k > per else []) + rest, block))
 
 
-def _ranked(sized: DataFrame, size: str, key: str) -> DataFrame:
-    """0-based rank of each item among the items of its size, without a task that holds a whole size."""
-    from pyspark.sql import Window
-
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy(size, "salt").agg(F.count("*").alias("n"))  # at most sizes x SALTS rows
+def _ranked(sized: DataFrame, size: str, key: str, histogram: dict[int, int]) -> DataFrame:
+    """0-based rank of each item among the items of its size; a size with many items is divided among as many tasks as they need."""
+    many = [(s, -(-n // RANKED)) for s, n in histogram.items() if n > RANKED]
+    salts = sized.sparkSession.createDataFrame(many, f"{size} long, salts int")  # at most capacity rows
+    salted = sized.join(F.broadcast(salts), size, "left").withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    counts = salted.groupBy(size, "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(size).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(size, "salt", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy(size, "salt").orderBy(key, "part")) - 1
@@ -256,7 +267,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
             where = np.where(s > 0, where, 0)
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("part"), b.column("s"), pa.array(where, pa.int64())], schema=schema)
 
-    ranked = _ranked(parts.where("s > 0"), "s", "k").select("k", "part", "s", F.col("rank").cast("long").alias("rank"))
+    ranked = _ranked(parts.where("s > 0"), "s", "k", histogram).select("k", "part", "s", F.col("rank").cast("long").alias("rank"))
     empty = parts.where("s <= 0").select("k", "part", "s", F.lit(0).cast("long").alias("container_id"))
     out = ranked.mapInArrow(run, "k long, part int, s long, container_id long").unionByName(empty)
     return out.withColumnsRenamed({"k": key, "s": size})
