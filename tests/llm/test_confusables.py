@@ -55,3 +55,15 @@ def test_values(spark):
     assert [(g.n_forms, g.n_rows) for g in groups] == [(2, 3)]
     assert C.inconsistent_values(df.limit(0), "row_id", ["name"], "t").count() == 0
     assert df.select(F.sum(F.when(C.consistent_column("name") == "کتاب", 1))).first()[0] == 3
+
+
+def test_other_scripts_and_members(spark):
+    for a, b in (("ɡ", "g"), ("ո", "n"), ("Ꭺ", "A"), ("ꓢ", "S"), ("Ⲟ", "O"), ("\x07a", "a")):
+        assert C.skeleton(a) == C.skeleton(b)
+    assert C.consistent("LIꓢU") == "LISU" and C.consistent("ꓢꓮ") == "ꓢꓮ" and C.consistent("Armeոia") == "Armenia"
+    rows = [("a", 1, "قانون"), ("a", 2, "قانون"), ("b", 1, "ﻗﺎﻧﻮﻥ"), ("b", 2, None), ("b", 3, ""), ("b", 4, "сор"), ("b", 5, "cop")]
+    found = {(r.t, r.i): r for r in C.look_alike_members(spark.createDataFrame(rows, "t string, i long, value string"), "value").collect()}
+    assert len(found) == 6 and (found["a", 1].n_forms, found["a", 1].n_rows) == (2, 3) and found["b", 1].skeleton_hash == found["a", 2].skeleton_hash
+    assert (found["b", 4].n_forms, found["b", 3].n_rows) == (2, 1)
+    values = spark.createDataFrame(rows, "t string, i long, value string")
+    assert [(r.i, r.consistent_value) for r in C.inconsistent_values(values, "i", ["value"], "x").collect()] == [(1, "قانون")]

@@ -20,18 +20,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 # Letters that look like a Latin letter, and the Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԚԜҮӀасԁеһіјӏорԛѕԝхуѵү", "ABESIJKMHOPCTYXQWYIacdehijlopqswxyvy"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανιορυκ", "ABEZHIKMNOPTYXaviopuk"))
+ARMENIAN = dict(zip("ՍՏՕԼոսցհօզ", "USOLnughoq"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHJKLMPRSTVWYZ"))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc"))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
+# Latin letters of another shape that are read as a basic one; only skeletons change them.
+LATIN = dict(zip("ɑɡɩıʋ", "agiiu"))
 # Arabic letters that stand for a usual Persian letter of the same shape.
 PERSIAN = {"ي": "ی", "ى": "ی", "ك": "ک", "ڪ": "ک", "ە": "ه", "ہ": "ه", "ھ": "ه"}
 
-LATIN_OF = CYRILLIC | GREEK
-_CYRILLIC_OF = {b: a for a, b in reversed(CYRILLIC.items())}
-_GREEK_OF = {b: a for a, b in reversed(GREEK.items())}
+LATIN_OF = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC | LISU
+#: Ranges of the scripts whose letters may look Latin, and the letter of the script for a Latin one.
+_SCRIPTS = [(a, b, {y: x for x, y in reversed(t.items())}) for a, b, t in (
+    ("Ͱ", "Ͽ", GREEK), ("Ѐ", "ԯ", CYRILLIC), ("Ա", "֏", ARMENIAN), ("Ꭰ", "ᏽ", CHEROKEE), ("Ⲁ", "⳿", COPTIC), ("ꓐ", "꓿", LISU),
+)]
 _ARABIC_DIGITS = {chr(0x660 + i): chr(0x6F0 + i) for i in range(10)}
 _PLAIN = str.maketrans(PERSIAN | _ARABIC_DIGITS | {"\t": " "})
-_PROTOTYPE = str.maketrans(LATIN_OF | PERSIAN | _ARABIC_DIGITS | {"\t": " ", "‌": None})
+_PROTOTYPE = str.maketrans(LATIN_OF | LATIN | PERSIAN | _ARABIC_DIGITS | {"\t": " ", "‌": None})
 #: Default-ignorable and control characters, without U+200C and line breaks.
 _INVISIBLE = re.compile(
     "[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f­͏؜ᅟᅠ឴឵᠋-᠏​‍-‏‪-‮"
@@ -40,7 +50,7 @@ _INVISIBLE = re.compile(
 _SPACES = re.compile("[   -   　]")
 _JOINS = re.compile("‌+")
 _LOOSE_JOIN = re.compile("(?<![؀-ۿ])‌|‌(?![؀-ۿ])")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+_FOREIGN = re.compile("[" + "".join(f"{a}-{b}" for a, b, _ in _SCRIPTS) + "]")
 _RUN = re.compile(r"[^\W_]+")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
@@ -70,7 +80,7 @@ def _one_script(match: re.Match[str]) -> str:
         return word
     own = [c for c in foreign if c not in LATIN_OF]
     if own:  # a foreign word with Latin letters in it
-        back = _CYRILLIC_OF if own[0] >= "Ѐ" else _GREEK_OF
+        back = next(t for a, b, t in _SCRIPTS if a <= own[0] <= b)
         return "".join(back.get(c, c) for c in word)
     return "".join(LATIN_OF.get(c, c) for c in word)
 
@@ -98,9 +108,10 @@ def skeleton(text: str | None) -> str | None:
     """Equal for two texts that look the same, whatever characters they use."""
     if not text:
         return text
+    text = _INVISIBLE.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = _SPACES.sub(" ", text).translate(_PROTOTYPE)
+        text = unicodedata.normalize("NFKD", text)
+        text = _INVISIBLE.sub("", _SPACES.sub(" ", text)).translate(_PROTOTYPE)
         text = unicodedata.normalize("NFKD", text)
     return text.translate(_PROTOTYPE)
 
@@ -133,8 +144,15 @@ def skeleton_column(column: Column | str) -> Column:
     return confusables_skeleton(column)
 
 
+def _prototype(text: str) -> str:
+    """The consistent form of a text if it looks the same, that is, if both have one skeleton; else the text."""
+    form = consistent(text)
+    return form if form != text and skeleton(form) == skeleton(text) else text
+
+
 def inconsistent_values(df: DataFrame, key: str, fields: list[str], table_name: str) -> DataFrame:
-    """(table_name, key, field_name, value, consistent_value) of every value that differs from its consistent form.
+    """(table_name, key, field_name, value, consistent_value) of every value that has the skeleton of its consistent form
+    and differs from it.
 
     The pattern ``SUSPECT`` runs in the JVM, so a text made only of ordinary characters never reaches Python.
     NULL and '' have no row. Repeated rows come out as often as they are in.
@@ -142,10 +160,21 @@ def inconsistent_values(df: DataFrame, key: str, fields: list[str], table_name:
     long = df.select(
         F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("v")
     ).select(F.lit(table_name).alias("table_name"), key, "v.field_name", "v.value")
-    form = long.where(F.col("value").rlike(SUSPECT)).withColumn("consistent_value", consistent_column("value"))
+    form = long.where(F.col("value").rlike(SUSPECT)).withColumn("consistent_value", F.arrow_udf(_arrow(_prototype), T.StringType())("value"))
     return form.where(F.col("value") != F.col("consistent_value"))
 
 
+def look_alike_members(values: DataFrame, value: str) -> DataFrame:
+    """The rows with skeleton_hash instead of the value: a row for each value that isn't NULL, with the number of different
+    originals and of rows that have its skeleton, n_forms and n_rows. Only hashes are shuffled; counts meet before that."""
+    others = [c for c in values.columns if c != value]
+    rows = values.where(F.col(value).isNotNull()).select(*others, F.md5(skeleton_column(value)).alias("skeleton_hash"), F.md5(value).alias("form"))
+    rows = written(rows, "skeletons")
+    forms = rows.groupBy("skeleton_hash", "form").agg(F.count("*").alias("n"))
+    groups = forms.groupBy("skeleton_hash").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"))
+    return rows.drop("form").join(groups, "skeleton_hash").select(*others, "skeleton_hash", "n_forms", "n_rows")
+
+
 def look_alike_groups(df: DataFrame, key: str, field: str) -> DataFrame:
     """One row per skeleton of ``field``: skeleton_hash, consistent_value, n_forms (distinct originals), n_rows.
 
