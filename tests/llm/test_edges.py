@@ -22,7 +22,7 @@ def test_personal(rows):
     lexicon = personal.learn(rows.select("text"), rows.select("k"))
     for text in LONG:
         began = time.time()
-        personal.redacted(text, lexicon)
+        personal.items(text, lexicon.prefilter())
         assert time.time() - began < 20, text[:10]
     assert personal.found_items(rows, "row_id", "text", lexicon).count() >= 0
 

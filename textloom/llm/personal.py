@@ -4,11 +4,13 @@ E-mail addresses, phone numbers, identity numbers and street addresses have form
 none, so the corpus says which words name somebody (information-theoretic sanitisation): for each word t its disclosure
 is the information that t gives about the event "a person is named here", log2(P(named | t) / P(named)), estimated from
 co-occurrence in all texts: with honorifics, with frames of self-introduction, and with the names of a register. Words
-whose P(named | t) reaches ``LEAST_SHARE`` disclose an entity; a family name with a given name or honorific is generalised
-to a placeholder.
+that leave at most ``MOST_DOUBT`` bits of doubt about it disclose an entity; a family name with a given name or honorific
+is generalised to a placeholder.
 
-Matching runs on a copy of the text in consistent form whose offsets lead back to the original, so all else in the text
-stays as it is. NULL stays NULL and '' stays ''; both have no item. Texts are read whole; repeated rows are treated alike.
+Words are looked up exactly: a scan marks the words that a bitmap of fixed size may hold, next to each other as names
+stand, and a join by hash with all disclosing words keeps the true ones. Matching runs on a copy of the text in consistent
+form whose offsets lead back to the original, so all else in the text stays as it is. NULL stays NULL and '' stays '';
+both have no item. Texts are read whole; repeated rows are treated alike, whatever their keys.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,9 @@ from .confusables import _INVISIBLE, LATIN_OF, PERSIAN, _ordinary
 
 TYPES = ("email", "phone", "identity_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[IDENTITY_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: P(a person is named | word) from which a word discloses an entity.
-LEAST_SHARE = 0.5
-LEAST_COUNT = 1
+#: Bits of doubt that a disclosing word may leave, -log2 P(a person is named | word), and the support of that estimate:
+#: occurrences at the rate of all words that are added to its own.
+MOST_DOUBT, SUPPORT = 1.32, 0.5
 
 _DIGITS = {chr(0x6F0 + i): str(i) for i in range(10)} | {chr(0x660 + i): str(i) for i in range(10)}
 _ASCII = str.maketrans(_DIGITS)
@@ -66,15 +69,16 @@ _C = r"\s?[،,]\s?"
 _NO = r"(?:پلاک|پ|شماره|ش)\.?\s?\d{1,5}"
 _ROAD = r"(?:خیابان|خ|بلوار|بل|میدان|م|کوچه|ک|بزرگراه|اتوبان|جاده|بن‌بست|بن بست)\.?"
 _MORE = r"(?:(?:طبقه|ط|واحد|و|بلوک|پلاک|پ|زنگ)\.?\s?\d{1,5}|(?:کد\s?‌?پستی|کدپستی)\s?:?\s?\d{5}[\s-]?\d{5}|صندوق پستی\s?\d+)"
-_ADDRESS = re.compile(
-    rf"(?<!\w){_ROAD} {_NAME_PART}(?:{_C}(?:(?:ابتدای|انتهای|نبش|جنب|روبروی|ساختمان|مجتمع|برج) {_NAME_PART}|{_ROAD} {_NAME_PART}|{_MORE})){{0,6}}?{_C}{_NO}(?:{_C}{_MORE}){{0,4}}(?!\d)"
-)
+_PLACE = rf"(?:(?:ابتدای|انتهای|نبش|جنب|روبروی|ساختمان|مجتمع|برج) {_NAME_PART}|{_ROAD} {_NAME_PART}|{_MORE})"
+_START, _PART = re.compile(rf"(?<!\w){_ROAD} {_NAME_PART}"), re.compile(_C + _PLACE)
+_HOUSE, _AFTER, _HOUSE_HINT = re.compile(rf"{_C}{_NO}(?!\d)"), re.compile(rf"{_C}{_MORE}(?!\d)"), re.compile(_NO)
 _CITY_BEFORE = re.compile(r"(?:^|[\s:：])((?:شهرک |شهر |بندر )?[^\s،,.؛:؟!\d]+)\s?[،,]\s?$")
 _NOT_CITY = frozenset("ساکن ملک در به از آدرس نشانی دفتر است".split())
 _STREET_EN = r"(?:Street|St|Alley|Avenue|Ave|Road|Rd|Boulevard|Blvd|Square|Lane)\.?"
 _ADDRESS_EN = re.compile(
-    rf"(?:\bNo\.?\s?)?\b\d{{1,5}}{_C}(?:[A-Z][\w'-]+ ){{1,3}}{_STREET_EN}(?:{_C}(?:[A-Z][\w'-]+ ){{1,3}}{_STREET_EN}){{0,3}}(?:{_C}(?:[Uu]nit|[Ff]loor|[Ff]lat) \d+)?(?:{_C}(?!I\b)[A-Z][\w'-]+(?: [A-Z][\w'-]+)?)?(?:{_C}(?i:post(?:al)? ?code|postcode|zip)?\s?\d{{5}}-?\d{{5}})?"
+    rf"(?:\bNo\.?\s?)?\b\d{{1,5}}{_C}(?:[A-Z][\w'-]+ ){{1,3}}{_STREET_EN}(?:{_C}(?:[A-Z][\w'-]+ ){{1,3}}{_STREET_EN})*(?:{_C}(?:[Uu]nit|[Ff]loor|[Ff]lat) \d+)?(?:{_C}(?!I\b)[A-Z][\w'-]+(?: [A-Z][\w'-]+)?)?(?:{_C}(?i:post(?:al)? ?code|postcode|zip)?\s?\d{{5}}-?\d{{5}})?"
 )
+_STREET_HINT = re.compile(_STREET_EN)
 _NAME_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[ً-ٰٕ‌'-](?=[^\W\d_])|[ً-ٕ])*")
 _LOOSE = re.compile("[ً-ٰٕ‌'-]")
 
@@ -118,75 +122,134 @@ def name_key(w: str) -> int:
     return xxhash.xxh3_64_intdigest(_LOOSE.sub("", w).lower())
 
 
-class Lexicon:
-    """Words that disclose a person, as bitmaps: given names, family names, and additions after a family name."""
-
-    def __init__(self, given: np.ndarray, family: np.ndarray, addition: np.ndarray):
-        self.maps = given, family, addition
-        self.kept: dict[str, int] = {}
-
-    def __getstate__(self):
-        return self.maps
-
-    def __setstate__(self, maps):
-        self.maps, self.kept = maps, {}
+def _word_kind(known: Callable[[int], int]) -> Callable[[str], int]:
+    """The kind of a word: 1 given name, 2 family name, 4 addition, or 8 honorific; from 256 on, how many digits it says."""
+    kept: dict[str, int] = {}
 
-    def kind(self, w: str) -> int:
-        """1 given, 2 family, 4 addition, 8 honorific; sums."""
-        k = self.kept.get(w)
+    def kind(w: str) -> int:
+        k = kept.get(w)
         if k is None:
-            if len(self.kept) > 1 << 17:
-                self.kept.clear()
-            h = np.array([name_key(w)], np.uint64)
-            k = sum(1 << i for i, m in enumerate(self.maps) if members(m, h)[0])
+            if len(kept) > 1 << 17:
+                kept.clear()
             if w.lower() in HONORIFICS:
                 k = 8
             elif w.isascii() and not w[:1].isupper():
                 k = 0
-            self.kept[w] = k
+            else:
+                k = known(name_key(w))
+            kept[w] = k = k + 256 * sum(x in _DIGIT_WORDS for x in w.lower().split("-"))
         return k
 
-    def names(self, s: str) -> list[tuple[int, int]]:
-        kinds = [self.kind(w) for w in _NAME_WORD.findall(s)]
-        if not any(k & 2 for k in kinds):
-            return []
-        spots = [m.span() for m in _NAME_WORD.finditer(s)]
-        out = []
-        for i, k in enumerate(kinds):
-            if not k & 2 or not i:
-                continue
-            adjoin = lambda a: s[spots[a][1] : spots[a + 1][0]].strip(" .") == ""
-            first = i
-            if kinds[i - 1] & 1 and adjoin(i - 1):
-                first = i - 1
-            while first and kinds[first - 1] & 8 and adjoin(first - 1):
-                first -= 1
-            if first == i:
+    return kind
+
+
+def exact(words: dict[int, int]) -> Callable[[str], int]:
+    """Kinds from a dictionary of word hashes."""
+    return _word_kind(lambda h: words.get(h, 0))
+
+
+def _maybe(maps: tuple[np.ndarray, ...]) -> Callable[[str], int]:
+    """Kinds that a word may have by bitmaps."""
+    return _word_kind(lambda h: sum(1 << i for i, m in enumerate(maps) if members(m, np.array([h], np.uint64))[0]))
+
+
+class Lexicon:
+    """Words that disclose a person: the exact table (h, kinds), and bitmaps of given names, family names and additions
+    that pass all of its words and some others."""
+
+    def __init__(self, words: DataFrame | None, maps: tuple[np.ndarray, ...]):
+        self.words, self.maps = words, maps
+
+    def prefilter(self) -> Callable[[str], int]:
+        return _maybe(self.maps)
+
+
+#: A word that may belong to a name: its number among the words, span, kind, hash, and what stands before the next word
+#: (2 a space, 1 spaces and full stops, 0 anything else).
+Token = tuple[int, int, int, int, int, int]
+
+
+def tokens(s: str, kind: Callable[[str], int]) -> tuple[list[Token], int]:
+    """Neighbouring words that may make a name, and how many digits are said in words."""
+    kinds = [kind(w) for w in _NAME_WORD.findall(s)]
+    said = sum(k >> 8 for k in kinds)
+    if not any(k & 2 for k in kinds):
+        return [], said
+    spots = [m.span() for m in _NAME_WORD.finditer(s)] + [(len(s), len(s))]
+    out: list[Token] = []
+    run: list[Token] = []
+    for i, k in enumerate(kinds):
+        if k & 15:
+            a, b = spots[i]
+            between = s[b : spots[i + 1][0]]
+            gap = 2 if between == " " else int(i + 1 < len(kinds) and between.strip(" .") == "")
+            run.append((i, a, b, k & 15, 0 if k & 8 else name_key(s[a:b]), gap))
+            if gap:
                 continue
-            last = i + 1 if i + 1 < len(kinds) and kinds[i + 1] & 4 and s[spots[i][1] : spots[i + 1][0]] == " " else i
-            out.append((spots[first][0], spots[last][1]))
-        return out
+        if any(t[3] & 2 for t in run[1:]):
+            out += run
+        run = []
+    if any(t[3] & 2 for t in run[1:]):
+        out += run
+    return out, said
+
+
+def names(found: list[Token]) -> list[tuple[int, int]]:
+    """Spans of a family name with a given name or honorific before it, and an addition after it."""
+    at = {t[0]: t for t in found}
+    is_ = lambda i, bit, gap: i in at and at[i][3] & bit and at[i][5] >= gap
+    out = []
+    for i, (_, _, end, k, _, gap) in at.items():
+        if not k & 2:
+            continue
+        first = i - 1 if is_(i - 1, 1, 1) else i
+        while is_(first - 1, 8, 1):
+            first -= 1
+        if first != i:
+            out.append((at[first][1], at[i + 1][2] if gap == 2 and is_(i + 1, 4, 0) else end))
+    return out
+
+
+def _lead(s: str, a: int, words: int = 5) -> str:
+    """The text before a: at least so many words."""
+    size = 64
+    while size < a and len(s[a - size : a].split()) <= words:
+        size *= 4
+    return s[max(0, a - size) : a]
+
+
+def addresses(s: str) -> Iterator[tuple[int, int]]:
+    """A road, any further places after commas, a house number, and what follows it."""
+    at = 0
+    while m := _START.search(s, at):
+        end = last = m.end()
+        while not (house := _HOUSE.match(s, end)) and (part := _PART.match(s, end)):
+            last, end = end, part.end()
+        if house:
+            end = house.end()
+            while more := _AFTER.match(s, end):
+                end = more.end()
+            a, city = m.start(), _CITY_BEFORE.search(_lead(s, m.start()))
+            if city and city[1].split()[-1] not in _NOT_CITY:
+                a -= len(city.string) - city.start(1)
+            yield a, end
+            at = end
+        else:  # no number after these places: another road may begin in the last of them
+            at = m.start() + 1 if last == m.end() else last
 
 
-def items(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, type) of each item in text order, as offsets in the original; items don't overlap."""
-    s, place = aligned(text)
+def forms(s: str, said: int) -> list[tuple[int, int, str]]:
+    """(start, end, type) of each item that has a form; said: digits said in words."""
     found: list[tuple[int, int, str]] = []
 
-    def add(a: int, b: int, kind: str) -> bool:
-        if any(a < y and x < b for x, y, _ in found):
-            return False
-        found.append((a, b, kind))
-        return True
+    def add(a: int, b: int, kind: str) -> None:
+        if not any(a < y and x < b for x, y, _ in found):
+            found.append((a, b, kind))
 
-    if "پ" in s or "شماره" in s:
-        for m in _ADDRESS.finditer(s):
-            a = m.start()
-            city = _CITY_BEFORE.search(s, max(0, a - 40), a)
-            if city and city[1].split()[-1] not in _NOT_CITY:
-                a = city.start(1)
-            add(a, m.end(), "address")
-    if "Street" in s or "Alley" in s or "Avenue" in s or "Road" in s or "St" in s:
+    if _HOUSE_HINT.search(s):
+        for a, b in addresses(s):
+            add(a, b, "address")
+    if _STREET_HINT.search(s):
         for m in _ADDRESS_EN.finditer(s):
             add(*m.span(), "address")
     if _MAIL_HINT.search(s):
@@ -194,35 +257,43 @@ def items(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
             if s[max(0, m.start() - 3) : m.start()] != "://":
                 add(*m.span(), "email")
     for m in _NUMBERS.finditer(s):
-        a, b = m.span()
-        lead = s[max(0, a - 30) : a]
-        taken: list[tuple[int, int]] = []
-        for p in _PHONE.finditer(s, a, b):
-            if not _NOT_PERSONAL.search(s[max(0, p.start() - 30) : p.start()]) and add(*p.span(), "phone"):
-                taken.append(p.span())
-        for p in _IDENTITY.finditer(s, a, b):
-            digits = re.sub(r"\D", "", p[0])
-            if identity_number(digits) and not _NOT_PERSONAL.search(s[max(0, p.start() - 30) : p.start()] if p.start() > a else lead):
+        for p in _PHONE.finditer(s, *m.span()):
+            if not _NOT_PERSONAL.search(_lead(s, p.start())):
+                add(*p.span(), "phone")
+        for p in _IDENTITY.finditer(s, *m.span()):
+            if identity_number(re.sub(r"\D", "", p[0])) and not _NOT_PERSONAL.search(_lead(s, p.start())):
                 add(*p.span(), "identity_number")
-    if "صفر" in s or "zero" in s or "نه " in s:
+    if said >= 10:
         for m in _SPOKEN.finditer(s):
-            said = list(re.finditer(r"\w+", m[0]))
-            digits = "".join(_DIGIT_WORDS[w[0].lower()] for w in said)
+            words = list(re.finditer(r"\w+", m[0]))
+            digits = "".join(_DIGIT_WORDS[w[0].lower()] for w in words)
             phone = re.match(r"(?:0098|98|0)[1-9]\d{9}", digits)  # a word after it may be a number of its own
             n = phone.end() if phone else 10 if identity_number(digits[:10]) else 0
             if n:
-                add(m.start(), m.start() + said[n - 1].end(), "phone" if phone else "identity_number")
-    for a, b in lexicon.names(s):
-        add(a, b, "name")
-    found.sort()
-    if place is None:
-        return found
-    return [(place[a], place[b - 1] + 1, kind) for a, b, kind in found]
+                add(m.start(), m.start() + words[n - 1].end(), "phone" if phone else "identity_number")
+    return found
+
+
+def with_names(found: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Items in text order; names that overlap another item are left out."""
+    out = list(found)
+    for a, b in spans:
+        if not any(a < y and x < b for x, y, _ in out):
+            out.append((a, b, "name"))
+    return sorted(out)
 
 
-def redacted(text: str, lexicon: Lexicon) -> str:
+def items(text: str, kind: Callable[[str], int]) -> list[tuple[int, int, str]]:
+    """(start, end, type) of each item in text order, as offsets in the original; items don't overlap."""
+    s, place = aligned(text)
+    found, said = tokens(s, kind)
+    out = with_names(forms(s, said), names(found))
+    return out if place is None else [(place[a], place[b - 1] + 1, t) for a, b, t in out]
+
+
+def replaced(text: str, found: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for a, b, kind in items(text, lexicon):
+    for a, b, kind in found:
         out += [text[at:a], PLACEHOLDER[kind]]
         at = b
     return "".join(out) + text[at:]
@@ -256,82 +327,147 @@ def _register(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _count_batch(n, slots)
 
 
-def _co_occurrence(given: np.ndarray, family: np.ndarray):
-    """Slots of the texts: a given name before a registered family name, a family name after a given name or honorific."""
+_PAIRS = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("given", pa.int64()), ("family", pa.int64()), ("n", pa.int64())])
+_PAIRS_DDL = "a long, h long, given long, family long, n long"
+
+
+def _co_occurrence(maps: tuple[np.ndarray, ...]):
+    """Counts of words (a is NULL; given and family by frames of introduction), and of neighbours (a, h) whose first word
+    may be a given name; a is 0 for an honorific."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(given, family, given & np.uint64(0))
+        kind = _maybe(maps)
         for part in parts:
-            n, slots = Counter(), (Counter(), Counter(), Counter())
+            n: Counter = Counter()
+            frames: tuple[Counter, Counter] = Counter(), Counter()
+            pairs: Counter = Counter()
             for text in part.column(0).to_pylist():
                 s = aligned(text)[0]
                 if _MAIL_HINT.search(s):
                     s = _EMAIL.sub(" ", s)
                 ws = _NAME_WORD.findall(s)
                 n.update(w for w in ws if not w.isascii() or w.istitle())
-                kinds = [lexicon.kind(w) for w in ws]
+                kinds = [kind(w) for w in ws]
                 for i, k in enumerate(kinds[:-1]):
-                    if k & 9 and not kinds[i + 1] & 9:
-                        slots[1][ws[i + 1]] += 1
-                    if k & 1 and kinds[i + 1] & 2:
-                        slots[0][ws[i]] += 1
+                    if k & 9 and not kinds[i + 1] & 8:
+                        pairs[None if k & 8 else ws[i], ws[i + 1]] += 1
                 if "name" in s or "signed by" in s or "I am" in s:
                     for a, b in _FRAME.findall(s):
-                        slots[0][a] += 1
-                        slots[1][b] += 1
-            yield _count_batch(n, slots)
+                        frames[0][a] += 1
+                        frames[1][b] += 1
+            by_key: dict[tuple[int | None, int], list[int]] = {}
+            for c, at in ((frames[0], 0), (frames[1], 1), (n, 2)):
+                for w, k in c.items():
+                    by_key.setdefault((None, name_key(w)), [0, 0, 0])[at] += k
+            for (a, b), k in pairs.items():
+                by_key.setdefault((name_key(a) if a else 0, name_key(b)), [0, 0, 0])[2] += k
+            signed = lambda h: None if h is None else h - (1 << 64) if h >> 63 else h
+            rows = [(signed(a), signed(h), *v) for (a, h), v in by_key.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _PAIRS)], schema=_PAIRS)
 
     return run
 
 
-def disclosure(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(h, given, family, addition, n, share, bits) of each word: counts over all texts and the register.
+def disclosure(texts: DataFrame, register: DataFrame) -> DataFrame:
+    """(h, given, family, addition, n, share, bits, doubt) of each word: counts over all texts and the register.
 
-    texts and names have one string column. A word is in the role that it has most often.
+    texts and register have one string column. A given name stands before a registered family name; a family name after a
+    registered given name or an honorific. share is P(a person is named | word), bits the information of the word about
+    that, doubt what is left of it.
     """
-    register = names.where(F.length(names.columns[0]) > 0).mapInArrow(_register, _COUNTS_DDL)
-    known = [bitmap_of(register.where(F.col(c) > 0).select("h")) for c in ("given", "family")]
-    counted = texts.where(F.length(texts.columns[0]) > 0).mapInArrow(_co_occurrence(*known), _COUNTS_DDL)
-    sums = [F.sum(c).alias(c) for c in ("given", "family", "addition", "n")]
-    words = written(register.unionByName(counted).groupBy("h").agg(*sums), "disclosure")
-    named = F.greatest("given", "family", "addition")
-    share = F.least(named / F.col("n"), F.lit(1.0))
+    known = register.where(F.length(register.columns[0]) > 0).mapInArrow(_register, _COUNTS_DDL).groupBy("h")
+    known = written(known.agg(*[F.sum(c).alias(c) for c in ("given", "family", "addition", "n")]), "register")
+    maps = tuple(bitmap_of(known.where(F.col(c) > 0).select("h")) for c in ("given", "family"))
+    rows = texts.where(F.length(texts.columns[0]) > 0).mapInArrow(_co_occurrence(maps), _PAIRS_DDL)
+    rows = written(rows.groupBy("a", "h").agg(*[F.sum(c).alias(c) for c in ("given", "family", "n")]), "neighbours")
+    words = rows.where("a IS NULL").select("h", "given", "family", F.lit(0).cast("long").alias("addition"), "n")
+    role = lambda h, *names: known.select(F.col("h").alias(h), *[(F.col(n) > 0).alias(f"{h}_{n}") for n in names])
+    pairs = rows.where("a IS NOT NULL").select("a", F.col("h").alias("b"), "n").join(role("a", "given"), "a", "left").join(role("b", "given", "family"), "b", "left").na.fill(False)
+    slot = lambda df, h, given, family: df.select(F.col(h).alias("h"), *[(F.col("n") if x else F.lit(0).cast("long")).alias(c) for c, x in (("given", given), ("family", family), ("addition", 0), ("n", 0))])
+    families = slot(pairs.where("(a = 0 OR a_given) AND NOT b_given"), "b", 0, 1)
+    givens = slot(pairs.where("a_given AND b_family"), "a", 1, 0)
+    words = known.unionByName(words).unionByName(families).unionByName(givens).groupBy("h").agg(*[F.sum(c).alias(c) for c in ("given", "family", "addition", "n")])
+    words = written(words, "disclosure")
     total = words.agg(F.sum("family"), F.sum("n")).first()
     base = max(1, total[0] or 0) / max(1, total[1] or 0)
-    return words.withColumn("share", share).withColumn("bits", F.when(named > 0, F.log2(share / base)))
+    likely = lambda c: F.least((c + SUPPORT * base) / (F.col("n") + SUPPORT), F.lit(1.0))
+    share = likely(F.greatest("given", "family", "addition"))
+    roles = reduce(lambda x, y: x + y, [F.when((F.col(c) > 0) & (-F.log2(likely(F.col(c))) <= MOST_DOUBT), 1 << i).otherwise(0) for i, c in enumerate(("given", "family", "addition"))])
+    return words.select("*", share.alias("share"), F.log2(share / base).alias("bits"), (-F.log2(share)).alias("doubt"), roles.alias("kinds"))
 
 
-def learn(texts: DataFrame, names: DataFrame) -> Lexicon:
-    """The words over the threshold; three bitmaps of fixed size reach the driver."""
-    words = disclosure(texts, names).where(F.col("share") >= LEAST_SHARE)
-    role = lambda c: words.where((F.col(c) >= LEAST_COUNT) & (F.col(c) >= LEAST_SHARE * F.col("n")))
-    return Lexicon(*(bitmap_of(role(c).select("h")) for c in ("given", "family", "addition")))
+def learn(texts: DataFrame, register: DataFrame) -> Lexicon:
+    """The words over the threshold, written; three bitmaps of fixed size reach the driver."""
+    words = written(disclosure(texts, register).where("kinds > 0").select("h", "kinds"), "names")
+    return Lexicon(words, tuple(bitmap_of(words.where(F.col("kinds").bitwiseAND(1 << i) > 0).select("h")) for i in range(3)))
 
 
-def found_items(df: DataFrame, key: str, field: str, lexicon: Lexicon) -> DataFrame:
-    """(key, pii_type, occurrence, start, end): occurrence counts 1, 2, … in text order among items of a type in a value."""
-    schema = pa.schema([("k", pa.int64()), ("pii_type", pa.string()), ("occurrence", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+_SPANS = pa.schema([("u", pa.int64()), ("type", pa.string()), *[(n, pa.int32()) for n in ("i", "start", "end", "kind", "gap")], ("h", pa.int64())])
+
 
+def _scan(maps: tuple[np.ndarray, ...]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _maybe(maps)
         for part in parts:
-            rows = []
-            for k, text in zip(*(c.to_pylist() for c in part.columns)):
-                seen: Counter = Counter()
-                for a, b, kind in items(text, lexicon):
-                    seen[kind] += 1
-                    rows.append((k, kind, seen[kind], a, b))
-            columns = zip(*rows) if rows else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            rows: list[tuple] = []
+            for u, text in zip(*(c.to_pylist() for c in part.columns)):
+                s, place = aligned(text)
+                spot = (lambda a, b: (a, b)) if place is None else (lambda a, b: (place[a], place[b - 1] + 1))
+                found, said = tokens(s, kind)
+                rows += [(u, t, 0, *spot(a, b), 0, 0, None) for a, b, t in forms(s, said)]
+                rows += [(u, None, i, *spot(a, b), k, gap, None if k & 8 else h - (1 << 64) if h >> 63 else h) for i, a, b, k, h, gap in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_SPANS), _SPANS)], schema=_SPANS)
 
-    slim = df.where(F.length(field) > 0).select(F.col(key).cast("long").alias("k"), F.col(field).alias("t"))
-    return slim.mapInArrow(run, "k long, pii_type string, occurrence int, start int, end int").withColumnRenamed("k", key)
+    return run
 
 
-def redacted_column(field: str, lexicon: Lexicon):
-    """The text with a typed placeholder for each item."""
+def _item_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        rows: list[tuple] = []
+        for u, spans in zip(*(c.to_pylist() for c in part.columns)):
+            found = [(x["start"], x["end"], x["type"]) for x in spans if x["type"]]
+            words = sorted((x["i"], x["start"], x["end"], x["kind"], 0, x["gap"]) for x in spans if not x["type"])
+            seen: Counter = Counter()
+            for a, b, t in with_names(found, names(words)):
+                seen[t] += 1
+                rows.append((u, t, seen[t], a, b))
+        types = pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["u", "pii_type", "occurrence", "start", "end"])
+
+
+def _items(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(u, pii_type, occurrence, start, end) of texts (u, t), u being unique."""
+    schema = "u long, type string, i int, start int, end int, kind int, gap int, h long"
+    spans = written(texts.where(F.length("t") > 0).mapInArrow(_scan(lexicon.maps), schema), "spans")
+    true = spans.where("h IS NOT NULL").join(lexicon.words, "h").withColumn("kind", F.col("kinds")).select(*spans.columns)
+    whole = spans.where("h IS NULL").unionByName(true).groupBy("u").agg(F.collect_list(F.struct("type", "i", "start", "end", "kind", "gap")).alias("spans"))
+    return whole.mapInArrow(_item_rows, "u long, pii_type string, occurrence int, start int, end int")
 
-    @F.arrow_udf("string")
-    def redact(values: pa.Array) -> pa.Array:
-        return pa.array([redacted(t, lexicon) if t else t for t in values.to_pylist()], pa.string())
 
-    return redact(F.col(field))
+def found_items(df: DataFrame, key: str, field: str, lexicon: Lexicon) -> DataFrame:
+    """(key, pii_type, occurrence, start, end): occurrence counts 1, 2, … in text order among items of a type in a value."""
+    texts = df.select(F.col(key).alias("k"), F.col(field).alias("t"))
+    kinds = dict(df.dtypes)
+    if kinds[key] == "bigint" and not texts.where("k IS NULL").head(1) and not texts.groupBy("k").count().where("count > 1").head(1):
+        return _items(texts.select(F.col("k").alias("u"), "t"), lexicon).withColumnRenamed("u", key)
+    texts = written(texts.withColumn("u", F.monotonically_increasing_id()), "texts")
+    return _items(texts.select("u", "t"), lexicon).join(texts.select("u", "k"), "u").select(F.col("k").alias(key), "pii_type", "occurrence", "start", "end")
+
+
+def redacted(df: DataFrame, fields: list[str], lexicon: Lexicon) -> DataFrame:
+    """The table with a typed placeholder for each item in the fields."""
+    u = "_u"
+    while u in df.columns:
+        u += "_"
+    out = written(df.withColumn(u, F.monotonically_increasing_id()), "texts")
+
+    @F.arrow_udf("string")
+    def replace(values: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = [replaced(t, sorted((x["start"], x["end"], x["pii_type"]) for x in s)) if t and s else t for t, s in zip(values.to_pylist(), spans.to_pylist())]
+        return pa.array(rows, pa.string())
+
+    base = out
+    for f in fields:
+        spans = _items(base.select(F.col(u).alias("u"), F.col(f).alias("t")), lexicon).groupBy("u").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("spans"))
+        out = out.join(spans.withColumnsRenamed({"u": u, "spans": u + f}), u, "left").withColumn(f, replace(F.col(f), F.col(u + f))).drop(u + f)
+    return out.select(*df.columns)

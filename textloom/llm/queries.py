@@ -36,8 +36,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     lexicon = _lexicon(spark, d)
     consultations, lawyers = tables(spark, d, "consultations", "lawyers")
-    a = consultations.select(F.lit("consultations").alias("table_name"), "row_id", *[personal.redacted_column(f, lexicon).alias(f) for f in ("question", "answer")])
-    b = lawyers.select(F.lit("lawyers").alias("table_name"), "row_id", personal.redacted_column("about", lexicon).alias("about"))
+    named = lambda df, t: df.select(F.lit(t).alias("table_name"), "*")
+    a = named(personal.redacted(consultations.select("row_id", "question", "answer"), ["question", "answer"], lexicon), "consultations")
+    b = named(personal.redacted(lawyers.select("row_id", "about"), ["about"], lexicon), "lawyers")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -124,6 +125,11 @@ def p6_name_groups(spark: SparkSession, d: str) -> DataFrame:
     return confusables.look_alike_groups(tables(spark, d, "lawyers")[0], "row_id", "name")
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    values = [tables(spark, d, t)[0].select(F.lit(t).alias("table_name"), "row_id", F.lit(f).alias("field_name"), F.col(f).alias("value")) for t, f in P6_FIELDS]
+    return confusables.look_alike_members(_union(values), "value")
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     documents, limits = tables(spark, d, "documents", "size_limits")
     capacity, _, _ = pieces.limit_of(limits, "documents", "text")
@@ -139,7 +145,7 @@ def p7_use(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_spans(spark, d).select("doc_id", "item_id")
+    return p8_spans(spark, d).where("n_words >= 12").select("doc_id", "item_id")
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +170,6 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         p1_found, p1_redacted, p2_found, p2_groups, p2_raw_groups, p3_found, p4_found, p4_clean_files, p4_clean_nodes, p5_found, p5_pieces,
-        p6_found, p6_consistent, p6_name_groups, p7_packed, p7_use, p8_found, p8_spans, p9_found, p9_areas, p9_composition,
+        p6_found, p6_consistent, p6_groups, p6_name_groups, p7_packed, p7_use, p8_found, p8_spans, p9_found, p9_areas, p9_composition,
     )
 }
