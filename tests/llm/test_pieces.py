@@ -1,11 +1,24 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from textloom.llm import packing
 from textloom.llm import pieces as P
 
 TEXT = st.text(alphabet="اب .\n،؟‌َ", max_size=400)
 
 
+def test_tokens_of_a_vocabulary(spark):
+    """Cuts by tokens: each piece holds at most so many of the whole text's tokens, and the pieces make the text."""
+    sums, text = packing.token_sums(), "ماده یک قانون مدنی. the civil code says so.\n" * 40
+    counts = sums(text)
+    assert counts[0] == 0 and counts[-1] == packing.token_counter(packing.TOKENIZER)(text) and counts == sorted(counts)
+    at = P.cuts(text, 50, 10, counts)
+    assert all(counts[b] - counts[a] <= 50 for a, b in at) and at[0][0] == 0 and at[-1][1] == len(text) and all(y[0] <= x[1] for x, y in zip(at, at[1:]))
+    df = spark.createDataFrame([(1, text), (2, "کوتاه"), (3, None)], "row_id long, text string")
+    got = P.split_texts(df, "row_id", "text", 50, 10, sums, True).orderBy("piece_no").collect()
+    assert [(r.row_id, r.start, r.end) for r in got] == [(1, a, b) for a, b in at]
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT, st.integers(2, 40), st.integers(0, 30))
 def test_pieces_cover(text, limit, overlap):

@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -34,22 +35,32 @@ GROUPS, ROUNDS, GRID, STEP = 96, 400, 1024, 0.05
 LAID = 0.9
 #: Items of one length that one task numbers, about.
 RANKED = 100_000
-_counters: dict[str, object] = {}
 
 
-def token_counter(path: str):
-    """A function from texts to token counts; loaded once in each worker."""
-    if path not in _counters:
-        import tiktoken
+@lru_cache(maxsize=2)
+def _encoding(path: str):
+    """Loaded once in each worker."""
+    import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-        encoding = tiktoken.Encoding(Path(path).name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    return tiktoken.Encoding(Path(path).name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        def count(text: str | None) -> int:
-            return len(encoding.encode_ordinary(text)) if text else 0
 
-        _counters[path] = count
-    return _counters[path]
+def token_counter(path: str) -> Callable[[str | None], int]:
+    """A function from texts to token counts."""
+    encoding = _encoding(path)
+    return lambda text: len(encoding.encode_ordinary(text)) if text else 0
+
+
+def token_sums(path: str = TOKENIZER) -> Callable[[str], list[int]]:
+    """A function from a text to the tokens that begin before each of its offsets."""
+
+    def sums(text: str) -> list[int]:
+        encoding = _encoding(path)
+        _, starts = encoding.decode_with_offsets(encoding.encode_ordinary(text))
+        return np.searchsorted(np.array(starts), np.arange(len(text) + 1), side="left").tolist()
+
+    return sums
 
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:

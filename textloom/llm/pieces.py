@@ -90,13 +90,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def split_texts(df: DataFrame, key: str, text: str, limit: int, overlap: int, token_sums: Callable[[str], list[int]] | None = None, only_larger: bool = False) -> DataFrame:
     """(key, piece_no, n_pieces, start, end, piece): start and end are 0-based code point offsets, end exclusive.
 
-    only_larger leaves out texts that need no cut; in code points the JVM then drops them before Python sees them.
+    only_larger leaves out texts that need no cut; the JVM then drops what is surely short before Python sees it. token_sums
+    gives the sizes of a text's beginnings, in tokens of the whole text; without it sizes are code points.
     """
     kind = dict(df.dtypes)[key]
     if kind not in ("bigint", "int", "string"):
         raise ValueError("the key must be an integer or a string")
     schema = pa.schema([("k", pa.string() if kind == "string" else pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("piece", pa.string())])
-    rows = df.where(F.length(text) > (limit if only_larger and not token_sums else 0))
+    # a token has at least one byte, so a text of at most ``limit`` bytes needs no cut in tokens either
+    size = F.octet_length(text) if token_sums else F.length(text)
+    rows = df.where(size > (limit if only_larger else 0))
     k = F.col(key) if kind == "string" else F.col(key).cast("long")
     out = rows.select(k.alias("k"), F.col(text).alias("t")).mapInArrow(
         _split(limit, overlap, schema, token_sums), f"k {'string' if kind == 'string' else 'long'}, piece_no int, n_pieces int, start long, end long, piece string"

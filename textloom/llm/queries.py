@@ -91,8 +91,9 @@ def _pieces(spark: SparkSession, d: str, only_larger: bool) -> DataFrame:
     (limits,) = tables(spark, d, "size_limits")
     parts = []
     for t in CUT_TABLES:
-        limit, overlap, _ = pieces.limit_of(limits, t, "text")
-        cut = pieces.split_texts(tables(spark, d, t)[0], "row_id", "text", limit, overlap, only_larger=only_larger)
+        limit, overlap, unit = pieces.limit_of(limits, t, "text")
+        sums = packing.token_sums() if unit == "tokens" else None
+        cut = pieces.split_texts(tables(spark, d, t)[0], "row_id", "text", limit, overlap, sums, only_larger)
         parts.append(cut.select(F.lit(t).alias("table_name"), *cut.columns))
     return _union(parts)
 
@@ -105,6 +106,13 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, False)
 
 
+def p5_document_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents beyond the size of a container, cut by their limit in tokens."""
+    documents, limits = tables(spark, d, "documents", "size_limits")
+    limit, overlap, unit = pieces.limit_of(limits, "documents", "text")
+    return pieces.split_texts(documents, "doc_id", "text", limit, overlap, packing.token_sums() if unit == "tokens" else None, True)
+
+
 P6_FIELDS = (("nodes", "text"), ("consultations", "question"), ("lawyers", "name"))
 
 
@@ -169,7 +177,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_redacted, p2_found, p2_groups, p2_raw_groups, p3_found, p4_found, p4_clean_files, p4_clean_nodes, p5_found, p5_pieces,
+        p1_found, p1_redacted, p2_found, p2_groups, p2_raw_groups, p3_found, p4_found, p4_clean_files, p4_clean_nodes, p5_found, p5_pieces, p5_document_pieces,
         p6_found, p6_consistent, p6_groups, p6_name_groups, p7_packed, p7_use, p8_found, p8_spans, p9_found, p9_areas, p9_composition,
     )
 }
