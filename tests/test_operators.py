@@ -83,6 +83,37 @@ def test_propagation(spark):
     assert rows(graph.frontier(links, spark.createDataFrame([("a",)], "id string"))) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_frontier_ends_where_nothing_is_new(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(18)] + [(18, 0), (3, None)], "a long, b long")
+    seeds = spark.createDataFrame([(0,)], "id long")
+    assert sorted(map(tuple, graph.frontier(links, seeds).collect())) == [(i, i) for i in range(19)]
+    assert sorted(map(tuple, graph.frontier(links, seeds, 5).collect())) == [(i, i) for i in range(5)]
+
+
+def test_identifiers(spark):
+    df = spark.createDataFrame([("AMENDS",), ("bad name",)], "t string")
+    assert df.where("t = 'AMENDS'").select(merge.checked_identifier(F.col("t")).alias("t")).first().t == "AMENDS"
+    with pytest.raises(Exception, match="not an identifier"):
+        df.select(merge.checked_identifier(F.col("t"))).collect()
+
+
+def test_subword_chunks(spark):
+    ranks, pattern = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", r" ?\p{L}+| ?\p{N}+|[^\s\p{L}\p{N}]+|\s+"
+    coder = chunks._coder(ranks, pattern)
+    body = "قانون مدنی و آیین نامه the civil code " * 30
+    df = spark.createDataFrame([("a", body, "عنوان"), ("b", "", "x"), ("c", None, "x"), ("d", "کوتاه", None)], "id string, text string, title string")
+    none = F.lit(None).cast("array<string>")
+    got = chunks.subword_chunks(df, "id", "text", F.col("title"), none, 60, 10, ranks, pattern).orderBy("id", "chunk_index").collect()
+    head = coder.encode_ordinary("عنوان: عنوان\n\n")
+    own = [coder.encode_ordinary(r.text)[len(head) :] for r in got if r.id == "a"]
+    assert all(r.token_count <= 60 for r in got) and {r.id for r in got} == {"a", "d"} and {r.chunk_count for r in got if r.id == "a"} == {len(own)}
+    whole, joined = coder.encode_ordinary(body), []
+    room = 60 - len(head)
+    for i in range(len(own)):
+        joined[i * (room - 10) :] = whole[i * (room - 10) : i * (room - 10) + room]
+    assert joined == whole
+
+
 def test_structure(spark):
     links = spark.createDataFrame([("i", "index", "c", "category"), ("c", "category", "d", "document"), ("d", "document", "d", "document")], "page string, page_type string, target string, target_type string")
     assert {(r.source_id, r.target_id, r.relation_type) for r in graph.structure(links).collect()} == {("i", "c", "LINKS_TO"), ("i", "c", "LISTS"), ("c", "d", "LINKS_TO"), ("c", "d", "CONTAINS")}

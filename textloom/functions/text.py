@@ -14,7 +14,9 @@ LETTERS, PLAIN_LETTERS = "يىكۀةؤإأٱ", "ییکههوااا"
 SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # Words where a law's title ends, and number words.
 TITLE_STOPS = ("که", "می باشد", "است", "خواهد", "گردید", "موضوع", "مصوب", "و تبصره", "و بند", "در خصوص")
+RULING_STOPS = ("که", "می باشد", "است", "خواهد", "گردید", "موضوع", "مصوب", "در خصوص", "با اصلاحات")
 NUMBER_WORDS = {"یک": "1", "دو": "2", "سه": "3", "چهار": "4", "پنج": "5", "شش": "6", "هفت": "7", "هشت": "8", "نه": "9", "ده": "10"}
+# Institutions, notices of subscription and login, and the forms of dates, addresses and markers.
 INSTITUTIONS = (
     "هیأت عمومی دیوان عالی کشور",
     "هیات عمومی دیوان عالی کشور",
@@ -24,11 +26,31 @@ INSTITUTIONS = (
     "هیات عمومی دیوان عالی انتظامی قضات",
     "شورای عالی ثبت",
 )
-PAYWALL_MARKERS = ("اشتراک سه ماهه", "اشتراک شش ماهه", "اشتراک یک ساله", "خرید اشتراک", "تومان/ماه", "ماهیانه")
+PAYWALL_MARKERS = ("اشتراک سه ماهه", "اشتراک شش ماهه", "اشتراک یک ساله", "خرید اشتراک", "خرید‌اشتراک", "تومان/ماه", "ماهیانه")
 LOGIN_MARKERS = ("ورود به حساب کاربری", "شماره موبایل", "رمز عبور", "کد تایید")
 DATE = r"تاریخ\s*(?:تصویب|صدور)?\s*[:：]?\s*([۰-۹٠-٩0-9]{2,4}\s*/\s*[۰-۹٠-٩0-9]{1,2}\s*/\s*[۰-۹٠-٩0-9]{1,2})"
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 MARKER = r"\[(S\d+)\]"
+# Where a legal title ends, forms of decision numbers, subjects, institutions and lines of approval.
+TITLE_END = r"\s+(?=(?:مصوب|الحاقی|اصلاحی|مورخ|با\s+اصلاحات|با\s+الحاقات|که|می\s*باشد|خواهد\s+بود|است)(?:\s|$))"
+DECISION_NUMBER = r"(?i)ر[أا]ی\s+وحدت\s*رویه(?:\s+قضایی)?\s*(?:شماره|ردیف)?\s*([\(\)رR۰-۹٠-٩0-9/\-–،,\sو]+)"
+DECISION_NUMBER_END = r"\s+(?:مورخ|صادره|هیأت|هیات|موضوع)(?:\s|$)"
+SUBJECT_ALONE = r"موضوع\s*[:：]\s*$"
+SUBJECT_SAME = r"موضوع\s*[:：]\s*\S"
+SUBJECT_VALUE = r"موضوع\s*[:：]\s*(.+)"
+GENERAL_BOARD = r"((?:هیأت|هیات)\s+عمومی\s+[^\n.؛]{3,100}|شورای\s+عالی\s+ثبت)"
+APPROVAL_WORD = "مصوب|تصویب|اصلاحات|الحاقات"
+APPROVAL_NEAR = r"([^\n]{0,180}(?:مصوب|تصویب)[^\n]{0,180})"
+REASONS = r"^(.*?)\s+(?=(?:در\s+ماده|نظر\s+به|با\s+توجه|حسب|مطابق\s+ماده|در\s+پرونده))"
+# Words by which a citation's relation is known, the first that is found.
+LAW_RELATIONS = (("لغو|ملغی|نسخ", "REPEALS"), ("اصلاح|الحاق|تغییر", "AMENDS"), ("اجرایی|اجرای|در اجرای", "IMPLEMENTS"))
+RULING_RELATIONS = (
+    ("لغو|ملغی|نسخ|منسوخ|بی اعتبار", "REPEALS_OR_DISAPPLIES"), ("اصلاح|الحاق|تغییر", "INTERPRETS_AMENDMENT"), ("در اجرای|اجرایی|اجرای", "IMPLEMENTS"),
+    ("لازم الاتباع|مستند|مطابق|به موجب|با استناد", "APPLIES"),
+)
+DECISION_RELATIONS = (
+    ("عدول|منسوخ|نسخ|بی اعتبار", "OVERRULES_DECISION"), ("تایید|صحیح و قانونی|موافق", "AFFIRMS_DECISION"), ("معارض|مغایر|مخالف", "DISTINGUISHES_DECISION"),
+)
 ZWNJ, RLM, LRM, BOM = "‌", "‏", "‎", "﻿"
 
 
@@ -110,8 +132,7 @@ def site_title(x: Column | str, site: str) -> Column:
 
 def legal_title(x: Column | str) -> Column:
     """A title up to words on its approval or the verb."""
-    stop = r"\s+(?=(?:مصوب|الحاقی|اصلاحی|مورخ|با\s+اصلاحات|با\s+الحاقات|که|می\s*باشد|خواهد\s+بود|است)(?:\s|$))"
-    return F.btrim(F.split(normalize_space(x), stop, 2)[0], F.lit(" ،؛.ـ-–"))
+    return F.btrim(F.split(normalize_space(x), TITLE_END, 2)[0], F.lit(" ،؛.ـ-–"))
 
 
 def title_candidate(x: Column | str) -> Column:
@@ -120,6 +141,12 @@ def title_candidate(x: Column | str) -> Column:
     return F.trim(F.split(normalize_law(x), stop, 2)[0])
 
 
+def ruling_candidate(x: Column | str) -> Column:
+    """The title in a ruling's phrase, normalised, up to the first stop word of rulings; round brackets stay."""
+    stop = r"(?U)\b(?:" + "|".join(RULING_STOPS) + r")\b"
+    return F.btrim(F.split(normalize_ruling(legal_title(x)), stop, 2)[0], F.lit(" ،؛."))
+
+
 def safe_filename(x: Column | str, length: int = 120) -> Column:
     name = F.btrim(F.regexp_replace(normalize_space(x), r'[\\/:*?"<>|\x00-\x1f]', "_"), F.lit(" ._"))
     name = F.when(name == "", F.lit("file")).otherwise(name)
@@ -161,9 +188,9 @@ def year(x: Column | str) -> Column:
 
 
 def decision_number(title: Column | str) -> Column:
-    raw = F.regexp_extract(or_empty(title), r"(?i)ر[أا]ی\s+وحدت\s*رویه(?:\s+قضایی)?\s*(?:شماره|ردیف)?\s*([\(\)رR۰-۹٠-٩0-9/\-–،,\sو]+)", 1)
+    raw = F.regexp_extract(or_empty(title), DECISION_NUMBER, 1)
     raw = F.btrim(normalize_space(normalize_digits(raw)), F.lit("-–،,؛. "))
-    return non_empty(F.split(raw, r"\s+(?:مورخ|صادره|هیأت|هیات|موضوع)(?:\s|$)", 2)[0])
+    return non_empty(F.split(raw, DECISION_NUMBER_END, 2)[0])
 
 
 def approval_date(x: Column | str) -> Column:
@@ -177,14 +204,13 @@ def lines(x: Column | str) -> Column:
 def subject(x: Column | str, longest: int = 700) -> Column:
     """The words after the subject label; the next line if the label stands alone; cut where the reasons begin if too long."""
     ls = lines(x)
-    at = F.array_position(F.transform(ls, lambda l: l.rlike(r"موضوع\s*[:：]\s*\S")), F.lit(True))
-    alone = F.array_position(F.transform(ls, lambda l: l.rlike(r"موضوع\s*[:：]\s*$")), F.lit(True))
-    same = F.regexp_extract(F.try_element_at(ls, at.cast("int")), r"موضوع\s*[:：]\s*(.+)", 1)
+    at = F.array_position(F.transform(ls, lambda l: l.rlike(SUBJECT_SAME)), F.lit(True))
+    alone = F.array_position(F.transform(ls, lambda l: l.rlike(SUBJECT_ALONE)), F.lit(True))
+    same = F.regexp_extract(F.try_element_at(ls, at.cast("int")), SUBJECT_VALUE, 1)
     following = F.try_element_at(ls, (alone + 1).cast("int"))
     s = normalize_space(F.when((at > 0) & ((alone == 0) | (at < alone)), same).when(alone > 0, following))
-    rest = F.substring(s, 81, 1_000_000)
-    boundary = r"^(.*?)\s+(?=(?:در\s+ماده|نظر\s+به|با\s+توجه|حسب|مطابق\s+ماده|در\s+پرونده))"
-    cut = F.when(rest.rlike(boundary), F.trim(F.concat(F.substring(s, 1, 80), F.regexp_extract(rest, boundary, 1))))
+    rest = F.substr(s, F.lit(81))
+    cut = F.when(rest.rlike(REASONS), F.trim(F.concat(F.substring(s, 1, 80), F.regexp_extract(rest, REASONS, 1))))
     short = F.coalesce(cut, F.concat(F.rtrim(F.substring(s, 1, longest)), F.lit("…")))
     return non_empty(F.when(F.length(s) > longest, short).otherwise(s))
 
@@ -193,14 +219,14 @@ def issuing_body(x: Column | str) -> Column:
     """A known institution in the text, in its usual spelling, else the words after the name of a general board."""
     n = normalize_ruling(x)
     known = F.coalesce(*[F.when(n.contains(normalize_ruling(F.lit(i))), F.lit(i.replace("هیات", "هیأت"))) for i in INSTITUTIONS])
-    return F.coalesce(known, non_empty(normalize_space(F.regexp_extract(or_empty(x), r"((?:هیأت|هیات)\s+عمومی\s+[^\n.؛]{3,100}|شورای\s+عالی\s+ثبت)", 1))))
+    return F.coalesce(known, non_empty(normalize_space(F.regexp_extract(or_empty(x), GENERAL_BOARD, 1))))
 
 
 def approval_line(x: Column | str) -> Column:
     """The first of eight lines with a word of approval, else the words around the first one."""
     ls = F.slice(lines(x), 1, 8)
-    line = F.try_element_at(F.filter(ls, lambda l: l.rlike("مصوب|تصویب|اصلاحات|الحاقات")), F.lit(1))
-    near = non_empty(F.regexp_extract(or_empty(x), r"([^\n]{0,180}(?:مصوب|تصویب)[^\n]{0,180})", 1))
+    line = F.try_element_at(F.filter(ls, lambda l: l.rlike(APPROVAL_WORD)), F.lit(1))
+    near = non_empty(F.regexp_extract(or_empty(x), APPROVAL_NEAR, 1))
     return F.when(F.coalesce(line, near).isNotNull(), normalize_space(F.coalesce(line, near)))
 
 
@@ -222,35 +248,20 @@ def email(x: Column | str) -> Column:
     return _found(or_empty(x), f"({EMAIL})", 0)
 
 
+def _relation(normal: Column, kinds: tuple[tuple[str, str], ...], otherwise: str) -> Column:
+    return F.coalesce(*[F.when(normal.rlike(words), kind) for words, kind in kinds], F.lit(otherwise))
+
+
 def law_relation(context: Column | str) -> Column:
-    n = normalize_law(context)
-    return (
-        F.when(n.rlike("لغو|ملغی|نسخ"), "REPEALS")
-        .when(n.rlike("اصلاح|الحاق|تغییر"), "AMENDS")
-        .when(n.rlike("اجرایی|اجرای|در اجرای"), "IMPLEMENTS")
-        .otherwise("REFERENCES")
-    )
+    return _relation(normalize_law(context), LAW_RELATIONS, "REFERENCES")
 
 
 def ruling_relation(context: Column | str) -> Column:
-    n = normalize_ruling(context)
-    return (
-        F.when(n.rlike("لغو|ملغی|نسخ|منسوخ|بی اعتبار"), "REPEALS_OR_DISAPPLIES")
-        .when(n.rlike("اصلاح|الحاق|تغییر"), "INTERPRETS_AMENDMENT")
-        .when(n.rlike("در اجرای|اجرایی|اجرای"), "IMPLEMENTS")
-        .when(n.rlike("لازم الاتباع|مستند|مطابق|به موجب|با استناد"), "APPLIES")
-        .otherwise("REFERENCES")
-    )
+    return _relation(normalize_ruling(context), RULING_RELATIONS, "REFERENCES")
 
 
 def decision_relation(context: Column | str) -> Column:
-    n = normalize_ruling(context)
-    return (
-        F.when(n.rlike("عدول|منسوخ|نسخ|بی اعتبار"), "OVERRULES_DECISION")
-        .when(n.rlike("تایید|صحیح و قانونی|موافق"), "AFFIRMS_DECISION")
-        .when(n.rlike("معارض|مغایر|مخالف"), "DISTINGUISHES_DECISION")
-        .otherwise("CITES_DECISION")
-    )
+    return _relation(normalize_ruling(context), DECISION_RELATIONS, "CITES_DECISION")
 
 
 def hop_score(hops: Column | str) -> Column:
@@ -307,9 +318,9 @@ def env_flag(value: str | None) -> bool:
 
 def paywalled(x: Column | str) -> Column:
     """Two distinct offers of a subscription, and no date or subject of a ruling."""
-    n = normalize_ruling(x)
-    offers = sum((n.contains(normalize_ruling(F.lit(m))).cast("int") for m in PAYWALL_MARKERS), F.lit(0))
-    return (offers >= 2) & ~(n.rlike(DATE) | n.rlike(r"موضوع\s*[:：]"))
+    t = or_empty(x)
+    offers = sum((t.contains(m).cast("int") for m in PAYWALL_MARKERS), F.lit(0))
+    return (offers >= 2) & ~(t.rlike(DATE) | t.rlike("موضوع ?:"))
 
 
 def file_access(page: Column | str, has_file: Column, authenticated: Column) -> Column:

@@ -15,8 +15,8 @@ EXTENSION_KINDS = {
     "jpg": "image", "jpeg": "image", "png": "image", "gif": "image", "webp": "image",
 }
 MIME_KINDS = {
-    "application/pdf": "pdf", "application/msword": "word", "application/rtf": "word",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "word", "application/vnd.oasis.opendocument.text": "word",
+    "application/pdf": "pdf", "application/msword": "word",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "word", "application/rtf": "word", "application/vnd.oasis.opendocument.text": "word",
     "application/vnd.ms-excel": "excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "excel",
     "application/vnd.ms-powerpoint": "powerpoint", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "powerpoint",
     "application/zip": "archive", "application/x-rar-compressed": "archive", "application/x-7z-compressed": "archive",

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,21 +22,27 @@ PLAIN_LABELS = ("LegalEntity", "LawNode", "Laws", "Unanimity")
 URL_NAMESPACE = uuid.NAMESPACE_URL
 
 
+_ENDS = re.compile(r"\n|\.(?= )")
+
+
 def windows(text: str, longest: int, overlap: int) -> list[str]:
-    """Windows of stripped, non-blank lines; a window ends at its last line or sentence end if that lies in its later half."""
-    s = "\n".join(x for x in (line.strip() for line in text.splitlines()) if x)
-    out, at = [], 0
-    while at < len(s):
-        stop = at + longest
-        if stop < len(s):
-            ends = [s.rfind(mark, at, stop) for mark in ("\n", ". ", ".\n")]
-            stop = max(ends) + 1 if max(ends) > at + longest // 2 else stop
-        piece = s[at:stop].strip()
-        out += [piece] if piece else []
-        if stop >= len(s):
-            break
-        at = stop - overlap
-    return out
+    """Pieces of the stripped, non-blank lines of a text: at most ``longest`` characters from each start, ending with the
+    last line or sentence that is seen whole in them if that lies in the later half, and overlapping by ``overlap``.
+
+    Ends are sorted offsets, found once; each piece looks its own up by binary search.
+    """
+    s = "\n".join(filter(None, map(str.strip, text.splitlines())))
+    ends = [m.end() for m in _ENDS.finditer(s)]
+    seen = [e + (s[e - 1] == ".") for e in ends]  # a full stop ends a sentence where the space after it is seen too
+    spans, start = [], 0
+    while start < len(s):
+        last = min(start + longest, len(s))
+        at = bisect_right(seen, last) - 1
+        if last < len(s) and at >= 0 and ends[at] - start > longest // 2 + 1:
+            last = ends[at]
+        spans.append((start, last))
+        start = len(s) if last == len(s) else last - overlap
+    return [piece for a, b in spans if (piece := s[a:b].strip())]
 
 
 def character_chunks(df: DataFrame, key: str, text: str, longest: int = 4000, overlap: int = 300, title: str | None = None) -> DataFrame:
@@ -89,6 +100,41 @@ def token_chunks(df: DataFrame, key: str, text: str, title: Column, labels: Colu
     )
 
 
+def subword_chunks(df: DataFrame, key: str, text: str, title: Column, labels: Column, most: int, overlap: int, ranks: str, pattern: str) -> DataFrame:
+    """``token_chunks`` in tokens of a byte-level vocabulary: (key, chunk_index, chunk_count, text, token_count).
+
+    ranks: a file of base64 tokens with their ranks, read on every machine; pattern: how texts are divided before merging.
+    The heading is part of every chunk and of its size. Raises if a heading leaves no room.
+    """
+    schema = pa.schema([("k", pa.string()), ("chunk_index", pa.int32()), ("chunk_count", pa.int32()), ("text", pa.string()), ("token_count", pa.int32())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks, pattern)
+        for part in parts:
+            rows: list[tuple] = []
+            for k, body, head in zip(*(c.to_pylist() for c in part.columns)):
+                top = coder.encode_ordinary(head + "\n\n") if head else []
+                own, room = coder.encode_ordinary(body), most - len(top)
+                if own and room <= overlap:
+                    raise ValueError("a heading leaves no room for tokens")
+                count = (1 if len(own) <= room else 1 + -(-(len(own) - room) // (room - overlap))) if own else 0
+                for i in range(count):
+                    piece = own[i * (room - overlap) : i * (room - overlap) + room]
+                    rows.append((k, i + 1, count, coder.decode(top + piece), len(top) + len(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    slim = df.where(F.length(text) > 0).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.coalesce(heading(title, labels), F.lit("")).alias("h"))
+    return slim.mapInArrow(run, "k string, chunk_index int, chunk_count int, text string, token_count int").withColumnRenamed("k", key)
+
+
+@lru_cache(maxsize=2)
+def _coder(ranks: str, pattern: str):
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
+    return tiktoken.Encoding(Path(ranks).name, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     """1-based numbers over a total order, without one task for all rows: ranges are sorted, counted and offset."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -6,7 +6,7 @@ Offsets come from one Arrow-batched pass over each text; all joins and decisions
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from zlib import crc32
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import article_id, hash_id, note_id
 from ..functions.text import (
     decision_key, decision_number_tokens, decision_relation, law_relation, legal_number_tokens, legal_title,
-    normalize_digits, normalize_law, normalize_space, number_tokens, ruling_relation, title_candidate,
+    normalize_digits, normalize_law, normalize_space, number_tokens, ruling_candidate, ruling_relation, title_candidate,
 )
 from ..session import written
 
@@ -87,9 +87,9 @@ def notes(found: DataFrame) -> DataFrame:
     return rows.groupBy("article_id", "id").agg(F.max_by(F.struct("number", "text"), "order").alias("r")).select("article_id", "id", "r.*")
 
 
-def title_choices(nodes: DataFrame, kinds: tuple[str, ...] = ("document", "law_group")) -> DataFrame:
+def title_choices(nodes: DataFrame, kinds: tuple[str, ...] = ("document", "law_group"), normal: Callable[[str], Column] = normalize_law) -> DataFrame:
     """(title, id): normalised titles of at least three letters; the smallest id of equal titles."""
-    named = nodes.where(F.col("type").isin(*kinds)).select(normalize_law("title").alias("title"), "id")
+    named = nodes.where(F.col("type").isin(*kinds)).select(normal("title").alias("title"), "id")
     return named.where(F.length("title") >= 3).groupBy("title").agg(F.min("id").alias("id"))
 
 
@@ -124,33 +124,54 @@ def _indel(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def resolve_titles(phrases: DataFrame, choices: DataFrame, cutoff: float = 80.0) -> DataFrame:
+def resolve_titles(phrases: DataFrame, choices: DataFrame, cutoff: float = 80.0, candidate: Callable[[str], Column] = title_candidate) -> DataFrame:
     """(phrase, id, confidence) of phrases that name a known title: equal, else containing one, else similar.
 
-    The cheap test comes first and only what is left goes on. Containment is an equi-join: a title can only be contained
-    where its first word stands, so words of phrases are joined with first words of titles. Similarity is asked of every
-    pair that lengths and letters allow to reach the cutoff, with a word in common or without.
+    The cheap test comes first and only what is left goes on. Containment is an equi-join on what is rarest in a title.
+    Similarity is asked of every pair that lengths and letters allow to reach the cutoff, with a word in common or without.
     """
-    asked = phrases.select("phrase").where("phrase IS NOT NULL").distinct().withColumn("c", title_candidate("phrase")).where("c != ''")
+    asked = phrases.select("phrase").where("phrase IS NOT NULL").distinct().withColumn("c", candidate("phrase")).where("c != ''")
     asked = written(asked, "phrases")
     choices = written(choices, "titles")
     exact = asked.join(choices, asked["c"] == choices["title"]).select("phrase", "id", F.lit(1.0).alias("confidence"))
     rest = written(asked.join(exact.select("phrase"), "phrase", "left_anti"), "unequal")
-    starts = choices.where(F.length("title") >= 5).select("title", "id", F.split("title", " ")[0].alias("w"))
-    # a title may also begin inside a word, so every suffix of every word is a possible start of it
-    suffixes = lambda c: F.array_distinct(F.flatten(F.transform(F.split(c, " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.length(w))))))
-    prefixes = rest.select("phrase", "c", F.explode(suffixes(F.col("c"))).alias("w"))
-    inside = prefixes.join(starts, "w").where(F.contains("c", "title")).groupBy("phrase").agg(F.max_by("id", F.struct(F.length("title"), "title")).alias("id"))
-    # titles of one word can end inside a word of the phrase
-    single = starts.where(~F.contains("title", F.lit(" "))).select("title", "id")
-    heads = rest.select("phrase", "c", F.explode(_substrings(F.col("c"))).alias("title")).join(single, "title").groupBy("phrase").agg(F.max_by("id", F.struct(F.length("title"), "title")).alias("id1"), F.max(F.length("title")).alias("n1"))
-    inside = inside.join(heads, "phrase", "full").select("phrase", F.coalesce("id", "id1").alias("id"), F.lit(0.96).alias("confidence"))
-    inside = written(inside, "containing")
+    inside = written(_containing(rest, choices), "containing")
     left = written(rest.join(inside.select("phrase"), "phrase", "left_anti"), "unknown")
     fuzzy = _similar(left, choices, cutoff)
     return exact.unionByName(inside).unionByName(fuzzy)
 
 
+def _ends(c: str, of: Callable[[Column, Column], Column]) -> Column:
+    """Suffixes or prefixes of every word of a text."""
+    parts = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: of(w, i))
+    return F.array_distinct(F.flatten(F.transform(F.split(c, " "), parts)))
+
+
+def _containing(rest: DataFrame, choices: DataFrame) -> DataFrame:
+    """(phrase, id, 0.96): the longest title of at least five letters that stands anywhere in a phrase.
+
+    Where a title stands, its inner words are words of the phrase, its first word ends one and its last begins one. Of these
+    marks the one that fewest titles have is joined, so a word that most titles share is never a key unless nothing else
+    is there; a title of one word is looked up among the parts of words.
+    """
+    ws = F.split("title", " ")
+    many = choices.where(F.length("title") >= 5).select("title", "id", ws.alias("ws"))
+    mark = lambda kind, w: F.struct(F.lit(kind).alias("kind"), w.alias("w"))
+    inner = F.transform(F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0))), lambda w: mark("inner", w))
+    marks = F.concat(inner, F.array(mark("ends", F.col("ws")[0]), mark("begins", F.element_at("ws", -1))))
+    marked = many.where(F.size("ws") > 1).select("title", "id", F.explode(F.array_distinct(marks)).alias("m"))
+    rarity = marked.groupBy("m").agg(F.count("*").alias("df"))
+    rarest = marked.join(rarity, "m").groupBy("title", "id").agg(F.min_by("m", F.struct("df", "m")).alias("m"))
+    own = F.concat(
+        F.transform(F.array_distinct(F.split("c", " ")), lambda w: mark("inner", w)),
+        F.transform(_ends("c", lambda w, i: F.substr(w, i)), lambda w: mark("ends", w)), F.transform(_ends("c", lambda w, i: F.substring(w, 1, i)), lambda w: mark("begins", w)),
+    )
+    found = rest.select("phrase", "c", F.explode(own).alias("m")).join(rarest, "m").where(F.contains("c", "title")).select("phrase", "title", "id")
+    single = many.where(F.size("ws") == 1).select("title", "id")
+    found = found.unionByName(rest.select("phrase", F.explode(_substrings(F.col("c"))).alias("title")).join(single, "title").select("phrase", "title", "id"))
+    return found.groupBy("phrase").agg(F.max_by("id", F.struct(F.length("title"), "title")).alias("id")).withColumn("confidence", F.lit(0.96))
+
+
 def _substrings(c: Column) -> Column:
     """Beginnings of at least five letters of every suffix of every word."""
     return F.array_distinct(F.flatten(F.transform(F.split(c, " "), lambda w: F.flatten(F.transform(
@@ -278,7 +299,7 @@ def ruling_citations(nodes: DataFrame, choices: DataFrame, lookup: DataFrame) ->
     label = F.when(F.col("g1").isin("ماده", "مواد"), "ماده").when(F.col("g1").isin("اصل", "اصول"), "اصل").otherwise(F.col("g1"))
     rows = rows.select("id", "alone", "phrase", label.alias("label"), legal_number_tokens("g2").alias("numbers"), normalize_space("raw").alias("raw"), ruling_relation("sentence").alias("relation_type"))
     rows = written(rows, "ruling-citations")
-    named = resolve_titles(rows, choices, 82.0).withColumnsRenamed({"id": "named", "confidence": "c"})
+    named = resolve_titles(rows, choices, 82.0, ruling_candidate).withColumnsRenamed({"id": "named", "confidence": "c"})
     rows = rows.join(named, "phrase", "left")
     law = F.coalesce(F.col("named"), F.when(F.col("phrase").isNotNull(), hash_id("external_legal_document", normalize_law("phrase"))))
     c = F.coalesce(F.col("c"), F.when(F.col("alone"), 0.42).otherwise(0.45))

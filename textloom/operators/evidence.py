@@ -44,9 +44,14 @@ def best(df: DataFrame, keys: list[str], score: str = "score", position: str = "
 
 def ledger(calls: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, evidence_id, source_id, …): the best row of each evidence, numbered S1, S2, … by first appearance."""
+    from .chunks import numbered
+
     first = calls.groupBy(run, "evidence_id").agg(F.min("position").alias("first"))
-    w = Window.partitionBy(run).orderBy("first", "evidence_id")
-    named = first.withColumn("source_id", F.concat(F.lit("S"), F.row_number().over(w).cast("string"))).drop("first")
+    # numbers over all runs, less those before the run: a run that holds a third of all rows is divided among tasks
+    ranked = numbered(first, [run, "first", "evidence_id"])
+    starts = ranked.groupBy(run).agg((F.min("rn") - 1).alias("before"))
+    number = (F.col("rn") - F.col("before")).cast("string")
+    named = ranked.join(starts, run).select(run, "evidence_id", F.concat(F.lit("S"), number).alias("source_id"))
     return best(calls, [run, "evidence_id"]).join(named, [run, "evidence_id"])
 
 
@@ -151,6 +156,11 @@ def summary(scores: DataFrame, score: str = "score") -> DataFrame:
     return scores.agg(F.avg(score).alias("mean"), F.median(score).alias("median"), F.min(score).alias("least"), F.count_if(F.col(score).isNull()).alias("failures"))
 
 
+def worst(scores: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:
+    """The k rows with the least scores, failures (NULL) first, ties by key."""
+    return scores.orderBy(F.col(score).asc_nulls_first(), key).limit(k)
+
+
 def settings(values: dict[str, str]) -> dict[str, int]:
     """Typed limits from text; raises on one that isn't a positive number."""
     defaults = {"top_k": 8, "depth": 2, "graph_results": 16, "history": 10}

@@ -70,7 +70,9 @@ def _returns(seeds: DataFrame, adjacent: DataFrame, depth: int) -> DataFrame:
         two = first.join(last.withColumnRenamed("w", "u"), ["seed", "u"]).where("e1 != e3")
         ways = ways.unionByName(two.select("seed", F.array("t1", "t3").alias("path"), F.lit(2).alias("hops")))
     if depth >= 3:
-        middle = adjacent.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("relation_type").alias("t2"), F.col("edge").alias("e2"))
+        # a triangle closes between two neighbours of a seed: only edges between such nodes take part
+        near = last.select(F.col("w").alias("b")).distinct()
+        middle = adjacent.where("a != b").join(near.withColumnRenamed("b", "a"), "a", "left_semi").join(near, "b", "left_semi").select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("relation_type").alias("t2"), F.col("edge").alias("e2"))
         three = first.join(middle, "u").where((F.col("w") != F.col("seed")) & (F.col("e1") != F.col("e2"))).join(last, ["seed", "w"])
         three = three.where((F.col("e3") != F.col("e2")) & (F.col("e3") != F.col("e1")))
         ways = ways.unionByName(three.select("seed", F.array("t1", "t2", "t3").alias("path"), F.lit(3).alias("hops")))
@@ -96,7 +98,7 @@ def hierarchy(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, category): the category of each node, filled from the parents that contain it until nothing changes.
 
     A parent that is a category gives its title and is preferred; among equals the smallest value wins. Each round is
@@ -105,7 +107,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Data
     links = edges.where("relation_type = 'CONTAINS'").select(F.col("source_id").alias("parent"), F.col("target_id").alias("id")).distinct()
     state = nodes.select("id", "category", F.when(F.col("type") == "category", F.col("title")).alias("own"))
     state = written(state, "categories")
-    for _ in range(most_rounds):
+    while True:
         giving = state.where("own IS NOT NULL OR category IS NOT NULL").select(
             F.col("id").alias("parent"), F.struct(F.when(F.col("own").isNotNull(), 0).otherwise(1).alias("rank"), F.coalesce("own", "category").alias("value")).alias("given")
         )
@@ -135,25 +137,29 @@ def adjacency(nodes: DataFrame, edges: DataFrame, relation: str = "ADJACENT_DECI
     return pairs.select("source_id", "target_id", kind.alias("relation_type"), F.lit(0.95).alias("confidence"))
 
 
-def frontier(links: DataFrame, seeds: DataFrame, most_depth: int = 10) -> DataFrame:
-    """(page, depth): breadth-first reach over a link table (a, b); each page once, pages seen before are left out."""
-    seen = written(seeds.select(F.col(seeds.columns[0]).alias("page")).distinct().withColumn("depth", F.lit(0)), "frontier")
-    level = seen
-    for d in range(1, most_depth + 1):
-        nxt = level.join(links, level["page"] == links["a"]).select(F.col("b").alias("page")).distinct().join(seen.select("page"), "page", "left_anti")
-        level = written(nxt.withColumn("depth", F.lit(d)), "frontier")
-        if not level.head(1):
-            break
+def frontier(links: DataFrame, seeds: DataFrame, most_pages: int | None = None) -> DataFrame:
+    """(page, depth): breadth-first reach over a link table (a, b) until nothing new is found, or, if asked, until there are
+    ``most_pages``, in the order of depth and page. Each page comes once; pages seen before are left out."""
+    seen = level = written(seeds.select(F.col(seeds.columns[0]).alias("page")).distinct().withColumn("depth", F.lit(0)), "frontier")
+    depth = 0
+    while level.head(1) and (most_pages is None or seen.count() < most_pages):
+        depth += 1
+        step = level.join(links, level["page"] == links["a"]).select(F.col("b").alias("page")).where("page IS NOT NULL").distinct()
+        level = written(step.join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(level)
-    return seen
+        if depth % 16 == 0:
+            seen = written(seen, "seen")  # keeps the plan short on long chains
+    return seen if most_pages is None else seen.orderBy("depth", "page").limit(most_pages)
 
 
 def structure(links: DataFrame) -> DataFrame:
-    """Structural edges of a link table (page, page_type, target, target_type, crumb): LINKS_TO always; CONTAINS by types; LISTS from an index."""
+    """Structural edges of a link table (page, page_type, target, target_type): LINKS_TO always; CONTAINS by types; LISTS
+    from an index; ADJACENT_DECISION between two decisions."""
     links = links.where("page != target")
     edge = lambda when, kind, confidence: links.where(when).select(F.col("page").alias("source_id"), F.col("target").alias("target_id"), F.lit(kind).alias("relation_type"), F.lit(confidence).alias("confidence"))
     inside = "(page_type = 'category' AND target_type IN ('law_group', 'document')) OR (page_type = 'law_group' AND target_type = 'document')"
     edges = edge("true", "LINKS_TO", 0.7).unionByName(edge(inside, "CONTAINS", 1.0)).unionByName(edge("page_type = 'index'", "LISTS", 0.95))
+    edges = edges.unionByName(edge("page_type = 'decision' AND target_type = 'decision'", "ADJACENT_DECISION", 0.75))
     return edges.groupBy("source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence"))
 
 

@@ -17,7 +17,7 @@ TYPE_LABELS = {
     },
     "unanimity": {
         "index": ("Index",), "year": ("DecisionYear",), "decision": ("LegalDecision", "UnanimityDecision"), "institution": ("Organization",),
-        "legal_document": ("Law",), "legal_group": ("Law", "LawGroup"), "legal_provision": ("LegalProvision",),
+        "legal_document": ("Law",), "legal_provision": ("LegalProvision",),
         "external_legal_document": ("ExternalLegalDocument",), "external_legal_provision": ("ExternalLegalProvision",),
         "unresolved_legal_reference": ("UnresolvedLegalReference",), "external_unanimity_decision": ("ExternalUnanimityDecision",),
     },
@@ -133,14 +133,16 @@ def graph_nodes(rows: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges by relation_key whose two ends exist; the highest confidence and the largest URL of a key stay."""
+def graph_edges(edges: DataFrame, nodes: DataFrame, order: list[str], dataset: str = "dataset") -> DataFrame:
+    """Edges by relation_key whose two ends exist, with the datasets that hold them; the last confidence and URL that
+    aren't NULL stay."""
     from ..functions.ids import relation_key
 
     keyed = edges.withColumn("relation_key", relation_key("source_id", "target_id", "relation_type", "raw_reference"))
     one = keyed.groupBy("relation_key").agg(
         F.first("source_id").alias("source_id"), F.first("target_id").alias("target_id"), F.first("relation_type").alias("relation_type"),
-        F.max("confidence").alias("confidence"), F.max("source_url").alias("source_url"),
+        F.first("raw_reference").alias("raw_reference"), F.array_sort(F.collect_set(dataset)).alias("source_datasets"),
+        *[_merged(c, "last_non_null", F.struct(*order)).alias(c) for c in ("confidence", "source_url")],
     )
     ids = nodes.select("id").distinct()
     return one.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
@@ -151,6 +153,12 @@ def check_unique(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def checked_identifier(name: Column, pattern: str = "^[A-Z][A-Z0-9_]*$") -> Column:
+    """The name of a relation type or label; raises on one that isn't made of capital letters, digits and underscores."""
+    said = F.concat(F.lit("not an identifier: "), F.coalesce(name, F.lit("NULL")))
+    return F.when(F.coalesce(name.rlike(pattern), F.lit(False)), name).otherwise(F.raise_error(said).cast("string"))
+
+
 def valid_lawyers(df: DataFrame) -> DataFrame:
     """Profiles with the required fields; raises on a profile without an id or URL."""
     required = (F.length("lawyer_id") > 0) & (F.length("profile_url") > 0)

@@ -65,16 +65,17 @@ def check_dimension(df: DataFrame, vector: str, dimension: int) -> DataFrame:
     return df.where(F.when(right, True).otherwise(F.raise_error(F.lit(f"a vector has not {dimension} places")).cast("boolean")))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, most_bytes: int = 1 << 26) -> DataFrame:
     """(query, key, score, rank): of each query vector the k most similar vectors, by cosine, ties by key.
 
-    Queries go through the data in blocks of bounded size; each batch keeps its own k best of each query, so what is
+    Queries go through the data in blocks of at most ``most_bytes``, one scan for each block; each batch keeps its own k best of each query, so what is
     shuffled is k rows per query and batch. Zero vectors and vectors of other lengths have no similarity.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "query long, key long, score double, rank int")
     numbered = queries.select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL")
-    n_blocks = max(1, -(-numbered.count() // block))
+    count, width = numbered.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_blocks = max(1, -(-count * 8 * (width or 1) // most_bytes))
     schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
     data = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
     out = None
@@ -106,15 +107,17 @@ def _best(ids: list[int], rows: list[list[float]], k: int, schema: pa.Schema):
             keys = part.column(0).to_numpy()[keep]
             m = np.array([vs[i] for i in keep], float)
             size = np.sqrt((m * m).sum(axis=1))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (q @ m.T) / q_size[:, None] / size[None, :]
-            s[~np.isfinite(s)] = -np.inf
             by_key = np.argsort(keys, kind="stable")
-            order = by_key[np.argsort(-s[:, by_key], axis=1, kind="stable")[:, :k]]
-            score = np.take_along_axis(s, order, axis=1)
-            good = np.isfinite(score)
-            qs = np.repeat(q_ids, order.shape[1]).reshape(order.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(qs[good]), pa.array(keys[order][good]), pa.array(score[good])], schema=schema)
+            for at in range(0, len(q), 512):
+                own = slice(at, at + 512)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (q[own] @ m.T) / q_size[own, None] / size[None, :]
+                s[~np.isfinite(s)] = -np.inf
+                order = by_key[np.argsort(-s[:, by_key], axis=1, kind="stable")[:, :k]]
+                score = np.take_along_axis(s, order, axis=1)
+                good = np.isfinite(score)
+                qs = np.repeat(q_ids[own], order.shape[1]).reshape(order.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(qs[good]), pa.array(keys[order][good]), pa.array(score[good])], schema=schema)
 
     return run
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, json, text, urls
 from ..operators import batches, chunks, citations, consultations, evidence, graph, merge, sequences, vectors
 from ..session import tables
-from ..sources import html
+from ..sources import html, readers
 from . import ingestion
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,9 +170,8 @@ def _case(x: str, rules: list[tuple[str, str]], other: str) -> str:
 
 @query(f"""
     SELECT row_id,
-      {_case(_law('text'), [('لغو|ملغی|نسخ', 'REPEALS'), ('اصلاح|الحاق|تغییر', 'AMENDS'), ('اجرایی|اجرای|در اجرای', 'IMPLEMENTS')], 'REFERENCES')} AS law_relation,
-      {_case(_ruling('text'), [('لغو|ملغی|نسخ|منسوخ|بی اعتبار', 'REPEALS_OR_DISAPPLIES'), ('اصلاح|الحاق|تغییر', 'INTERPRETS_AMENDMENT'), ('در اجرای|اجرایی|اجرای', 'IMPLEMENTS'), ('لازم الاتباع|مستند|مطابق|به موجب|با استناد', 'APPLIES')], 'REFERENCES')} AS ruling_relation,
-      {_case(_ruling('text'), [('عدول|منسوخ|نسخ|بی اعتبار', 'OVERRULES_DECISION'), ('تایید|صحیح و قانونی|موافق', 'AFFIRMS_DECISION'), ('معارض|مغایر|مخالف', 'DISTINGUISHES_DECISION')], 'CITES_DECISION')} AS decision_relation
+      {_case(_law('text'), text.LAW_RELATIONS, 'REFERENCES')} AS law_relation, {_case(_ruling('text'), text.RULING_RELATIONS, 'REFERENCES')} AS ruling_relation,
+      {_case(_ruling('text'), text.DECISION_RELATIONS, 'CITES_DECISION')} AS decision_relation
     FROM nodes""")
 def relation_types(spark: SparkSession, d: str) -> DataFrame:
     (rows,) = tables(spark, d, "nodes")
@@ -183,8 +182,8 @@ def relation_types(spark: SparkSession, d: str) -> DataFrame:
     SELECT row_id, CASE WHEN regexp_matches({_letters('text')}, '{"|".join(text.LOGIN_MARKERS)}') THEN 'unauthorized'
       WHEN regexp_matches({_letters('text')}, '{"|".join(text.PAYWALL_MARKERS)}') AND url IS NULL THEN 'paywalled'
       WHEN url IS NOT NULL AND dataset = 'laws' THEN 'subscribed' WHEN url IS NOT NULL THEN 'public' ELSE 'missing_file' END AS access,
-      ({" + ".join(f"contains({_ruling('text')}, {_ruling(repr(m))})::INT" for m in text.PAYWALL_MARKERS)}) >= 2
-        AND NOT regexp_matches({_ruling('text')}, '{text.DATE}') AND NOT regexp_matches({_ruling('text')}, 'موضوع\\s*[:：]') AS paywalled,
+      ({" + ".join(f"contains(coalesce(text, ''), {m!r})::INT" for m in text.PAYWALL_MARKERS)}) >= 2
+        AND NOT regexp_matches(coalesce(text, ''), '{text.DATE}') AND NOT regexp_matches(coalesce(text, ''), 'موضوع ?:') AS paywalled,
       regexp_matches(lower({_space('title')}), '404|not found|صفحه یافت نشد|صفحه مورد نظر یافت نشد')
         OR (length({_space('text')}) < 500 AND regexp_matches(lower({_space('text')}), 'page not found|صفحه مورد نظر یافت نشد|اطلاعاتی یافت نشد|موردی یافت نشد')) AS missing
     FROM nodes""")
@@ -318,12 +317,18 @@ def graph_node_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT sha256(concat_ws(chr(0), source_id, target_id, relation_type, coalesce(raw_reference, ''))) AS relation_key, max(source_id) AS source_id,
-           max(target_id) AS target_id, max(relation_type) AS relation_type, max(confidence) AS confidence, max(source_url) AS source_url
-    FROM relations WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) GROUP BY 1""")
+    WITH d AS (SELECT id, min(dataset) AS dataset FROM nodes GROUP BY id),
+    e AS (SELECT r.*, d.dataset, sha256(concat_ws(chr(0), source_id, target_id, relation_type, coalesce(raw_reference, ''))) AS relation_key FROM relations r JOIN d ON d.id = r.source_id)
+    SELECT relation_key, max(source_id) AS source_id, max(target_id) AS target_id, max(relation_type) AS relation_type, max(raw_reference) AS raw_reference,
+           (list(confidence ORDER BY source_url NULLS FIRST, confidence NULLS FIRST) FILTER (confidence IS NOT NULL))[-1] AS confidence,
+           (list(source_url ORDER BY source_url) FILTER (source_url IS NOT NULL))[-1] AS source_url, array_to_string(list_sort(list_distinct(list(dataset))), ',') AS source_datasets
+    FROM e WHERE target_id IN (SELECT id FROM nodes) GROUP BY 1""")
 def graph_edge_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by key; the page that an edge was read from stands for the time, as the table has none."""
     nodes, edges = tables(spark, d, "nodes", "relations")
-    return merge.graph_edges(edges, nodes).select("relation_key", "source_id", "target_id", "relation_type", "confidence", "source_url")
+    datasets = nodes.groupBy(F.col("id").alias("source_id")).agg(F.min("dataset").alias("dataset"))
+    merged = merge.graph_edges(edges.join(datasets, "source_id"), nodes, ["source_url", "confidence"])
+    return merged.withColumn("source_datasets", F.array_join("source_datasets", ","))
 
 
 @query(_merge_sql("lawyers", "lawyer_id", merge.PROFILE_POLICY, "coalesce(updated_at, ''), row_id"))
@@ -361,11 +366,14 @@ def latest_success(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT item_hash, min(row_id) AS row_id FROM consultations GROUP BY item_hash""")
+    WITH t AS (SELECT item_hash, min(row_id) AS row_id FROM consultations WHERE row_id % 2 = 0 GROUP BY item_hash)
+    SELECT * FROM t UNION ALL SELECT item_hash, min(row_id) AS row_id FROM consultations c
+    WHERE row_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.item_hash = c.item_hash) GROUP BY item_hash""")
 def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
-    """Even rows are there first by their order; odd rows are ignored where their hash is known. All rows take part."""
+    """The first even row of each hash is there; of the odd rows those of known hashes are ignored. All rows take part."""
     rows = tables(spark, d, "consultations")[0].select("item_hash", "row_id")
-    return merge.insert_or_ignore(rows.limit(0), rows, "item_hash", ["row_id"])
+    target = rows.where("row_id % 2 = 0").groupBy("item_hash").agg(F.min("row_id").alias("row_id"))
+    return merge.insert_or_ignore(target, rows.where("row_id % 2 = 1"), "item_hash", ["row_id"])
 
 
 @query("""
@@ -531,38 +539,81 @@ def year_propagate(spark: SparkSession, d: str) -> DataFrame:
     return graph.propagate_years(merge.merge(nodes, ["id"], {"type": "last", "year": "last"}, ["row_id"]), edges)
 
 
-@query("""
-    SELECT s.o_orderkey AS source_id, t.o_orderkey AS target_id, CASE WHEN t.o_orderkey < s.o_orderkey THEN 'PREVIOUS_DECISION' ELSE 'NEXT_DECISION' END AS relation_type, 0.95::DOUBLE AS confidence
-    FROM orders s JOIN orders t ON abs(s.o_orderkey - t.o_orderkey) = 1""")
+@query(f"""
+    WITH m AS (SELECT id, (list(decision_number ORDER BY row_id))[-1] AS number, (list(type ORDER BY row_id))[-1] AS type FROM nodes GROUP BY id),
+    n AS (SELECT id, {_digits('number')}::BIGINT AS n FROM m WHERE type = 'decision' AND regexp_full_match({_digits('number')}, '[0-9]+')),
+    s AS (SELECT id, n, row_number() OVER (ORDER BY n, id) AS rn FROM n)
+    SELECT a.id AS source_id, b.id AS target_id, CASE WHEN b.n < a.n THEN 'PREVIOUS_DECISION' ELSE 'NEXT_DECISION' END AS relation_type, 0.95::DOUBLE AS confidence
+    FROM s a JOIN s b ON abs(a.rn - b.rn) = 1 WHERE abs(a.n - b.n) = 1""")
 def adjacency_next_prev(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as decisions, numbered by their keys; each is adjacent to the two around it."""
-    orders = tables(spark, d, "orders")[0].select(F.col("o_orderkey").alias("id"), F.lit("decision").alias("type"), F.col("o_orderkey").cast("string").alias("decision_number"))
-    edges = orders.select(F.col("id").alias("source_id"), F.explode(F.array(F.col("id") - 1, F.col("id") + 1)).alias("target_id"), F.lit("ADJACENT_DECISION").alias("relation_type"))
-    return graph.adjacency(orders, edges)
+    """Decisions in the order of their numbers, each adjacent to the one before and after in that list."""
+    one = merge.merge(tables(spark, d, "nodes")[0], ["id"], {"type": "last", "decision_number": "last"}, ["row_id"])
+    decisions = one.withColumn("decision_number", text.normalize_digits("decision_number"))
+    listed = decisions.where("type = 'decision' AND decision_number RLIKE '^[0-9]+$'").select("id", F.col("decision_number").cast("long").alias("n"))
+    listed = chunks.numbered(listed, ["n", "id"])
+    beside = listed.select(F.col("id").alias("source_id"), F.explode(F.array(F.col("rn") - 1, F.col("rn") + 1)).alias("rn")).join(listed.select("rn", F.col("id").alias("target_id")), "rn")
+    return graph.adjacency(decisions, beside.select("source_id", "target_id", F.lit("ADJACENT_DECISION").alias("relation_type")))
+
+
+@query("""
+    WITH m AS (SELECT id, min(type) AS type FROM nodes GROUP BY id),
+    l AS (SELECT DISTINCT source_id, target_id, s.type AS st, t.type AS tt FROM relations r JOIN m s ON s.id = source_id JOIN m t ON t.id = target_id WHERE source_id <> target_id)
+    SELECT source_id, target_id, 'LINKS_TO' AS relation_type, 0.7::DOUBLE AS confidence FROM l
+    UNION ALL SELECT source_id, target_id, 'CONTAINS', 1.0::DOUBLE FROM l WHERE (st = 'category' AND tt IN ('law_group', 'document')) OR (st = 'law_group' AND tt = 'document')
+    UNION ALL SELECT source_id, target_id, 'LISTS', 0.95::DOUBLE FROM l WHERE st = 'index'
+    UNION ALL SELECT source_id, target_id, 'ADJACENT_DECISION', 0.75::DOUBLE FROM l WHERE st = 'decision' AND tt = 'decision'""")
+def structural_relations(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = tables(spark, d, "nodes", "relations")
+    types = nodes.groupBy("id").agg(F.min("type").alias("type"))
+    of = lambda a, b: types.select(F.col("id").alias(a), F.col("type").alias(b))
+    links = edges.join(of("source_id", "page_type"), "source_id").join(of("target_id", "target_type"), "target_id")
+    return graph.structure(links.select(F.col("source_id").alias("page"), "page_type", F.col("target_id").alias("target"), "target_type"))
 
 
 @query("""
     WITH RECURSIVE l AS (SELECT DISTINCT source_id AS a, target_id AS b FROM relations WHERE relation_type = 'LINKS_TO'),
-    f AS (SELECT DISTINCT id AS page, 0 AS depth FROM nodes WHERE type = 'category' UNION SELECT l.b, f.depth + 1 FROM f JOIN l ON l.a = f.page WHERE f.depth < 6)
+    f AS (SELECT DISTINCT id AS page, 0 AS depth FROM nodes WHERE type = 'category' UNION SELECT l.b, f.depth + 1 FROM f JOIN l ON l.a = f.page WHERE f.depth < 60)
     SELECT page, min(depth)::INT AS depth FROM f GROUP BY page""")
 def frontier_bfs(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = tables(spark, d, "nodes", "relations")
     links = edges.where("relation_type = 'LINKS_TO'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).distinct()
-    return graph.frontier(links, nodes.where("type = 'category'").select("id"), 6)
+    return graph.frontier(links, nodes.where("type = 'category'").select("id"))
 
 
 # --- chunks --------------------------------------------------------------------------------------------------------
-@query("""
-    WITH n AS (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'),
-        lambda l: regexp_replace(l, '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')), lambda l: l <> ''), chr(10)) AS s FROM documents)
-    SELECT doc_id, length(s)::INT AS n_chars, 1 AS chunk_count FROM n WHERE length(s) BETWEEN 1 AND 4000""")
-def single_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that are one chunk of 4,000 characters, by the same operator as all the others."""
-    pieces = chunks.character_chunks(tables(spark, d, "documents")[0], "doc_id", "text", 4000, 300)
-    return pieces.where("chunk_count = 1").select("doc_id", F.length("text").alias("n_chars"), "chunk_count")
+_PY_SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
-@query()
+def _py_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_PY_SPACE}+|{_PY_SPACE}+$', '', 'g')"
+
+
+def _chunk_sql(longest: int, overlap: int) -> str:
+    """doc_id, chunk_index, chunk_count, piece: windows walked from piece to piece."""
+    ends = f"greatest(CASE WHEN instr(reverse(w), chr(10)) > 0 THEN {longest} - instr(reverse(w), chr(10)) ELSE -1 END, CASE WHEN instr(reverse(w), ' .') > 0 THEN {longest} - instr(reverse(w), ' .') - 1 ELSE -1 END)"
+    step = f"SELECT doc_id, s, a, w, CASE WHEN a + {longest} - 1 >= length(s) THEN length(s) - a + 1 WHEN {ends} > {longest // 2} THEN {ends} + 1 ELSE {longest} END AS n"
+    return f"""RECURSIVE t AS (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'),
+        lambda l: {_py_strip('l')}), lambda l: l <> ''), chr(10)) AS s FROM documents),
+      f AS ({step} FROM (SELECT doc_id, s, 1 AS a, substr(s, 1, {longest}) AS w FROM t WHERE s <> '')
+        UNION ALL {step} FROM (SELECT doc_id, s, a + n - {overlap} AS a, substr(s, a + n - {overlap}, {longest}) AS w FROM f WHERE a + n - 1 < length(s))),
+      p AS (SELECT doc_id, a, {_py_strip('substr(s, a, n)')} AS piece FROM f),
+      c AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM p WHERE piece <> '')"""
+
+
+@query(f"WITH {_chunk_sql(1500, 200)} SELECT doc_id, chunk_index::INT AS chunk_index, chunk_count::INT AS chunk_count, length(piece)::INT AS n_chars, sha256(piece) AS hash FROM c")
+def character_chunks(spark: SparkSession, d: str) -> DataFrame:
+    pieces = chunks.character_chunks(tables(spark, d, "documents")[0], "doc_id", "text", 1500, 200)
+    return pieces.select("doc_id", "chunk_index", "chunk_count", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("hash"))
+
+
+@query(f"""
+    WITH {_chunk_sql(1000, 100)},
+    e AS (SELECT doc_id, chunk_index, chunk_count, piece FROM c UNION ALL SELECT doc_id, 1, 1, title FROM documents WHERE title IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM c)),
+    i AS (SELECT e.*, d.title, 'legal_file:' || doc_id || ':chunk:' || chunk_index || ':' || sha256(piece)[1:16] AS id FROM e JOIN documents d USING (doc_id)),
+    h AS (SELECT *, sha1(unhex('{chunks.URL_NAMESPACE.hex}') || encode(id)) AS h FROM i)
+    SELECT 'legal_file:' || doc_id AS document_id, chunk_index::INT AS chunk_index, chunk_count::INT AS chunk_count, piece AS text, title, id,
+           h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[('0x' || h[17:17])::INT % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id,
+           title || chr(10) || chr(10) || piece AS embedding_input FROM h""")
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = tables(spark, d, "documents")[0].select(F.concat(F.lit("legal_file:"), F.col("doc_id")).alias("document_id"), "title", "text")
     return chunks.document_chunks(docs, 1000, 100)
@@ -607,10 +658,96 @@ _AUTH = "CASE WHEN list_has_any(labels, ['Question', 'Answer', 'Lawyer', 'Tag'])
 
 
 @query(f"""
-    SELECT row_id, {_AUTH} AS authority, coalesce(list_filter({list(evidence.PRIORITY)}, lambda x: list_contains(labels, x))[1], 'legal_source') AS source_type FROM text_chunks""")
+    WITH n AS (SELECT row_id, access_status, coalesce({_LABELS}, []) AS labels FROM nodes)
+    SELECT row_id, CASE WHEN {_AUTH} = 'auxiliary' THEN 'auxiliary' WHEN access_status = 'reference_only' THEN 'secondary' ELSE {_AUTH} END AS authority,
+           coalesce(list_filter({list(evidence.PRIORITY)}, lambda x: list_contains(labels, x))[1], 'legal_source') AS source_type FROM n""")
 def authority_tier(spark: SparkSession, d: str) -> DataFrame:
-    (rows,) = tables(spark, d, "text_chunks")
-    return rows.select("row_id", evidence.authority(F.col("labels"), F.lit(None).cast("string")).alias("authority"), evidence.source_type(F.col("labels")).alias("source_type"))
+    rows = tables(spark, d, "nodes")[0].select("row_id", "access_status", merge.labels_of(F.col("dataset"), F.col("type")).alias("labels"))
+    return rows.select("row_id", evidence.authority(F.col("labels"), F.col("access_status")).alias("authority"), evidence.source_type(F.col("labels")).alias("source_type"))
+
+
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as evidence of runs, one run for each entity."""
+    rows = tables(spark, d, "text_chunks")[0].where("entity_id IS NOT NULL").select(
+        F.col("entity_id").alias("run_id"), F.col("custom_id").alias("evidence_id"), "entity_id", F.coalesce("title", F.lit("")).alias("title"), "text",
+        evidence.authority(F.col("labels"), F.lit(None).cast("string")).alias("authority"), F.col("token_count").cast("double").alias("score"), F.col("row_id").alias("position"),
+    )
+    return evidence.ledger(rows)
+
+
+_LEDGER = f"""
+    l0 AS (SELECT entity_id AS run_id, custom_id, min(row_id) AS first FROM text_chunks WHERE entity_id IS NOT NULL GROUP BY ALL),
+    l1 AS (SELECT *, 'S' || row_number() OVER (PARTITION BY run_id ORDER BY first, custom_id) AS source_id FROM l0),
+    l2 AS (SELECT entity_id AS run_id, custom_id, coalesce(title, '') AS title, {_AUTH} AS authority, text, token_count FROM text_chunks WHERE entity_id IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY entity_id, custom_id ORDER BY token_count DESC, row_id) = 1),
+    l AS (SELECT * FROM l1 JOIN l2 USING (run_id, custom_id))"""
+_BODY = "این پاسخ بر پایه منبع بازیابی شده نوشته شده است"
+
+
+@query(f"""
+    WITH {_LEDGER}, g AS (SELECT run_id, list_contains(list(source_id), 'S2') AS two, max(title) FILTER (source_id = 'S1') AS t1, max(title) FILTER (source_id = 'S2') AS t2,
+        max(authority) FILTER (source_id = 'S1') AS a1, max(authority) FILTER (source_id = 'S2') AS a2 FROM l GROUP BY run_id),
+    k AS (SELECT *, list_filter([CASE WHEN two THEN '{evidence.UNCITED}' END, CASE WHEN NOT (a1 = 'primary' OR (two AND a2 = 'primary')) THEN '{evidence.NO_PRIMARY}' END], lambda x: x IS NOT NULL) AS limits FROM g)
+    SELECT run_id, CASE WHEN two THEN '{_BODY}. [S1]' || chr(10) || chr(10) || '{_BODY}.' ELSE '{_BODY}. [S1]' END
+        || CASE WHEN len(limits) > 0 THEN chr(10) || chr(10) || 'محدودیت‌های پاسخ:' || chr(10) || array_to_string(list_transform(limits, lambda x: '- ' || x), chr(10)) ELSE '' END
+        || chr(10) || chr(10) || 'منابع بازیابی‌شده:' || chr(10) || '- [S1] ' || t1 || CASE WHEN two THEN chr(10) || '- [S2] ' || t2 ELSE '' END AS answer,
+      CASE WHEN two THEN 'S1,S2' ELSE 'S1' END AS cited, array_to_string(limits, ',') AS limitations, len(limits) > 0 AS limited FROM k""")
+def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts held to the ledgers of their runs: a known marker, an unknown one, a source named beside the text, and, where
+    there are two sources, a paragraph without a marker."""
+    sources = _ledger(spark, d)
+    runs = sources.groupBy("run_id").agg(F.count("*").alias("n"))
+    drafted = F.when(F.col("n") >= 2, F.lit(f"{_BODY}. [S1][S999]\n\n{_BODY}.")).otherwise(F.lit(f"{_BODY}. [S1][S999]"))
+    drafts = runs.select("run_id", evidence.draft(F.substring("run_id", 1, 0), F.array(F.col("run_id"), drafted)).alias("answer"), F.array(F.lit("S1"), F.lit("S2"), F.lit("S777")).alias("cited_source_ids"), F.lit(None).cast("array<string>").alias("limitations"))
+    out = evidence.grounded(drafts, sources)
+    return out.select("run_id", "answer", F.array_join("cited", ",").alias("cited"), F.array_join("limitations", ",").alias("limitations"), "limited")
+
+
+@query("""
+    SELECT DISTINCT r.source_id AS run_id, r.target_id AS entity_id FROM relations r JOIN text_chunks c ON c.entity_id = r.target_id WHERE r.relation_type = 'REFERENCES'""")
+def known_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Of the entities that a node refers to, those whose chunks its ledger holds."""
+    edges, pieces = tables(spark, d, "relations", "text_chunks")
+    asked = edges.where("relation_type = 'REFERENCES'").select(F.col("source_id").alias("run_id"), F.col("target_id").alias("entity_id")).distinct()
+    held = asked.join(pieces.select("entity_id").distinct(), "entity_id", "left_semi")
+    return evidence.known(asked, held)
+
+
+@query(f"""
+    WITH {_LEDGER} SELECT run_id, bool_and(source_id <> 'S3') AS short, bool_or(authority = 'primary') AS any_primary, round(avg(token_count), 6) AS mean, min(token_count)::DOUBLE AS least, count(*) FILTER (token_count IS NULL) AS failures
+    FROM l GROUP BY run_id""")
+def run_quantifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Of each run: whether no source is the third, whether any is primary, and the scores' mean, least and failures."""
+    return _ledger(spark, d).groupBy("run_id").agg(
+        F.bool_and(F.col("source_id") != "S3").alias("short"), F.bool_or(F.col("authority") == "primary").alias("any_primary"),
+        F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("least"), F.count_if(F.col("score").isNull()).alias("failures"),
+    )
+
+
+@query("""
+    WITH a AS (SELECT row_id, coalesce(list_distinct(regexp_extract_all(t, '\\[(S[0-9]+)\\]', 1)), []) AS ids, t FROM (SELECT row_id, '[S1] ' || coalesce(answer, '') || ' [S' || (row_id % 7) || '][S2]' AS t FROM consultations))
+    SELECT row_id, array_to_string(list_sort(ids), ',') AS markers, trim(CASE WHEN row_id % 7 IN (1, 2) THEN t ELSE replace(t, '[S' || (row_id % 7) || ']', '') END) AS kept FROM a""")
+def citation_markers(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables(spark, d, "consultations")[0].select("row_id", F.concat(F.lit("[S1] "), text.or_empty("answer"), F.lit(" [S"), (F.col("row_id") % 7).cast("string"), F.lit("][S2]")).alias("t"))
+    return rows.select("row_id", F.array_join(F.array_sort(text.markers("t")), ",").alias("markers"), text.strip_markers("t", F.array(F.lit("S1"), F.lit("S2"))).alias("kept"))
+
+
+@query("""
+    WITH e AS (SELECT DISTINCT source_id, target_id FROM relations WHERE relation_type = 'REFERENCES' AND source_id <> target_id),
+    m AS (SELECT id, (list(text ORDER BY loaded_at, row_id))[-1] AS text FROM nodes GROUP BY id),
+    s AS (SELECT id FROM (SELECT DISTINCT id FROM nodes) ORDER BY id LIMIT 50),
+    n AS (SELECT DISTINCT CASE WHEN source_id IN (SELECT id FROM s) THEN target_id ELSE source_id END AS a, 1 AS x FROM e WHERE source_id IN (SELECT id FROM s) OR target_id IN (SELECT id FROM s)),
+    b AS (SELECT target_id AS a FROM e WHERE source_id IN (SELECT id FROM s) UNION SELECT source_id FROM e WHERE target_id IN (SELECT id FROM s)),
+    t AS (SELECT a, text FROM b JOIN m ON m.id = b.a ORDER BY a LIMIT 100)
+    SELECT a AS neighbor, 1 AS hops, 'REFERENCES' AS relation_types FROM t WHERE length(trim(coalesce(text, ''))) > 0""")
+def graph_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty ids as seeds: their nearest hundred neighbours, of which those with text are evidence."""
+    nodes, edges = tables(spark, d, "nodes", "relations")
+    one = merge.merge(nodes, ["id"], {"text": "last"}, ["loaded_at", "row_id"])
+    wanted = [r[0] for r in nodes.select("id").distinct().orderBy("id").limit(60).collect()]
+    seeds = spark.createDataFrame([(i,) for i in graph.seed_ids(wanted)], "id string")
+    found = graph.expand(seeds, edges.where("source_id != target_id"), 1, ("REFERENCES",)).where("hops = 1")
+    return graph.evidence(found, one, 100).select("neighbor", "hops", F.array_join("relation_types", ",").alias("relation_types"))
 
 
 @query("""
@@ -663,13 +800,34 @@ def _one_each(nodes: DataFrame) -> DataFrame:
     return merge.merge(nodes, ["id"], dict.fromkeys(("type", "title", "text", "numeric_id", "decision_number"), "last"), ["loaded_at", "row_id"])
 
 
-@query()
+def _heading_sql(source: str, key: str, heading: str) -> str:
+    """key, i, parts: what is before a heading, and each heading with its label, number and text up to the next one."""
+    marked = f"regexp_replace(text, '(?m)(^|[\\n.؛]){heading}', '\\1' || chr(1) || '\\3' || chr(2) || '\\4' || chr(3) || '\\2', 'g')"
+    return f"SELECT {key}, i, parts[i + 1] AS part FROM (SELECT {key}, string_split({marked}, chr(1)) AS parts FROM {source} WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(parts))) AS i)"
+
+
+_N = "[۰-۹٠-٩0-9]+"
+_DASH = f"(?:[-–—ـ:]{_SP}*)?"
+_ARTICLE_SQL = f"({_SP}*(ماده|اصل){_SP}*[(\\[]?{_SP}*({_N}){_SP}*[)\\]]?{_SP}*{_DASH})"
+_NOTE_SQL = f"({_SP}*(تبصره)(?:{_SP}*[(\\[]?{_SP}*({_N}){_SP}*[)\\]]?)?{_SP}*{_DASH})"
+_ARTICLES = f"""
+    m AS (SELECT id, (list(type ORDER BY loaded_at, row_id))[-1] AS type, (list(text ORDER BY loaded_at, row_id))[-1] AS text FROM nodes GROUP BY id),
+    h AS (HEADINGS),
+    a AS (SELECT id AS document_id, i, split_part(part, chr(2), 1) AS label, {_digits("split_part(split_part(part, chr(3), 1), chr(2), 2)")} AS number, {_space("split_part(part, chr(3), 2)")} AS text FROM h),
+    b AS (SELECT *, 'article:' || document_id || ':' || label || ':' || number AS id FROM a QUALIFY row_number() OVER (PARTITION BY document_id, label, number ORDER BY i DESC) = 1)"""
+
+
+@query("WITH " + _ARTICLES.replace("HEADINGS", _heading_sql("(SELECT * FROM m WHERE type IN ('document', 'law_group'))", "id", _ARTICLE_SQL)) + " SELECT document_id, id, label, number, text FROM b")
 def law_articles(spark: SparkSession, d: str) -> DataFrame:
     nodes = _one_each(tables(spark, d, "nodes")[0]).where("type IN ('document', 'law_group')")
     return citations.articles(nodes)
 
 
-@query()
+@query("WITH " + _ARTICLES.replace("HEADINGS", _heading_sql("m", "id", _ARTICLE_SQL)) + f""",
+    n AS ({_heading_sql("b", "id", _NOTE_SQL)}),
+    o AS (SELECT id AS article_id, i, nullif({_digits("split_part(split_part(part, chr(3), 1), chr(2), 2)")}, '') AS own, {_space("split_part(part, chr(3), 2)")} AS text FROM n)
+    SELECT article_id, 'note:' || article_id || ':' || coalesce(own, i::VARCHAR) AS id, coalesce(own, i::VARCHAR) AS number, text FROM o
+    QUALIFY row_number() OVER (PARTITION BY article_id, coalesce(own, i::VARCHAR) ORDER BY i DESC) = 1""")
 def law_notes(spark: SparkSession, d: str) -> DataFrame:
     return citations.notes(citations.articles(_one_each(tables(spark, d, "nodes")[0])))
 
@@ -677,12 +835,16 @@ def law_notes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH m AS (SELECT id, (list(title ORDER BY loaded_at, row_id))[-1] AS title, (list(type ORDER BY loaded_at, row_id))[-1] AS type FROM nodes GROUP BY id),
     t AS (SELECT {_law('title')} AS title, min(id) AS id FROM m WHERE type IN ('document', 'law_group') AND length({_law('title')}) >= 3 GROUP BY 1),
-    p AS (SELECT DISTINCT title AS phrase, {_law('title')} AS c FROM text_chunks WHERE title <> '')
-    SELECT p.phrase, t.id, 1.0::DOUBLE AS confidence FROM p JOIN t ON t.title = p.c""")
-def title_resolve_exact(spark: SparkSession, d: str) -> DataFrame:
+    p AS (SELECT DISTINCT title AS phrase, trim(regexp_split_to_array({_law('title')}, '(^|[^\\p{{L}}\\p{{N}}_])({"|".join(text.TITLE_STOPS)})($|[^\\p{{L}}\\p{{N}}_])')[1]) AS c FROM text_chunks WHERE title <> ''),
+    x AS (SELECT phrase, c FROM p WHERE c <> ''), e AS (SELECT x.phrase, t.id FROM x JOIN t ON t.title = x.c),
+    i AS (SELECT x.phrase, t.id FROM x JOIN t ON length(t.title) >= 5 AND contains(x.c, t.title) WHERE x.phrase NOT IN (SELECT phrase FROM e)
+      QUALIFY row_number() OVER (PARTITION BY x.phrase ORDER BY length(t.title) DESC, t.title DESC) = 1)
+    SELECT phrase, id, 1.0::DOUBLE AS confidence FROM e UNION ALL SELECT phrase, id, 0.96::DOUBLE FROM i""")
+def title_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases that equal a title or hold one; similar ones, which SQL can't score, are left to law_citation_edges."""
     nodes, pieces = tables(spark, d, "nodes", "text_chunks")
-    found = citations.resolve_titles(pieces.where("title <> ''").select(F.col("title").alias("phrase")), citations.title_choices(_one_each(nodes)))
-    return found.where("confidence = 1.0 AND phrase IS NOT NULL")
+    found = citations.resolve_titles(pieces.where("title <> ''").select(F.col("title").alias("phrase")), citations.title_choices(_one_each(nodes)), cutoff=100.1)
+    return found.where("confidence >= 0.96")
 
 
 @query()
@@ -696,12 +858,32 @@ def law_citation_edges(spark: SparkSession, d: str) -> DataFrame:
 def ruling_citation_edges(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = tables(spark, d, "nodes", "relations")
     one = _one_each(nodes)
-    return citations.ruling_citations(one.where("type = 'decision'"), citations.title_choices(one), citations.article_lookup(one, edges))
+    choices = citations.title_choices(one, normal=text.normalize_ruling)
+    return citations.ruling_citations(one.where("type = 'decision'"), choices, citations.article_lookup(one, edges))
 
 
-@query()
+_KEY = f"replace(replace({_ruling('decision_number')}, ' ', ''), 'شماره', '')"
+
+
+@query(f"""
+    WITH m AS (SELECT id, (list(type ORDER BY loaded_at, row_id))[-1] AS type, (list(decision_number ORDER BY loaded_at, row_id))[-1] AS decision_number FROM nodes GROUP BY id),
+    k AS (SELECT {_KEY} AS key, min(id) AS target, count(*) AS n FROM m WHERE type = 'decision' AND {_KEY} <> '' GROUP BY 1),
+    c AS (SELECT DISTINCT r.source_id, {_KEY} AS key FROM relations r JOIN m ON m.id = r.target_id AND m.type = 'decision' WHERE r.relation_type = 'CITES_DECISION' AND {_KEY} <> ''
+      UNION SELECT DISTINCT source_id, '9999999' FROM relations WHERE relation_type = 'CITES_DECISION')
+    SELECT c.source_id, CASE WHEN n = 1 THEN target ELSE 'external_unanimity_decision:' || sha256(c.key)[1:20] END AS target_id, 'CITES_DECISION' AS relation_type,
+           'رأی وحدت رویه شماره ' || c.key AS raw_reference, CASE WHEN n = 1 THEN 0.95 WHEN n > 1 THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence
+    FROM c LEFT JOIN k ON k.key = c.key WHERE c.source_id IN (SELECT id FROM m) AND (n IS DISTINCT FROM 1 OR target <> c.source_id)""")
 def decision_citation_edges(spark: SparkSession, d: str) -> DataFrame:
-    return citations.decision_citations(_one_each(tables(spark, d, "nodes")[0]))
+    """Texts that cite by number the decisions that their nodes' edges lead to, and one that isn't there: the texts of the
+    table itself cite none. A number may belong to one decision, to several or to none."""
+    nodes, edges = tables(spark, d, "nodes", "relations")
+    one = _one_each(nodes)
+    number = text.decision_key("decision_number")
+    decisions = one.where("type = 'decision'").select(F.col("id").alias("target_id"), number.alias("key")).where("key != ''")
+    cites = edges.where("relation_type = 'CITES_DECISION'")
+    keys = cites.join(decisions, "target_id").select("source_id", "key").unionByName(cites.select("source_id", F.lit("9999999").alias("key"))).distinct()
+    cited = keys.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("key")), lambda k: F.concat(F.lit("رأی وحدت رویه شماره "), k)), "\n").alias("text"))
+    return citations.decision_citations(one.drop("text").join(cited, "id", "left"))
 
 
 # --- questions and answers -----------------------------------------------------------------------------------------
@@ -736,6 +918,31 @@ def qa_optional_match(spark: SparkSession, d: str) -> DataFrame:
     return of("HAS_ANSWER", "question", "answer").join(of("ANSWERED_BY", "answer", "lawyer"), "answer", "left").select("question", "answer", "lawyer")
 
 
+@query("""
+    SELECT id, profile_url FROM (SELECT row_id AS id, profile_url, advice_status, lawyer_id, detail_status, advice_url FROM lawyers)
+    WHERE detail_status = 'done' AND length(advice_url) > 0 AND coalesce(advice_status, '') <> 'done'""")
+def advice_queue(spark: SparkSession, d: str) -> DataFrame:
+    return readers.advice_queue(tables(spark, d, "lawyers")[0], "lawyer_id").select(F.col("row_id").alias("id"), "profile_url")
+
+
+@query("""
+    SELECT n.row_id, n.title, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)),
+        lambda l: trim(regexp_replace(l, '[\\s\\x{A0}]+', ' ', 'g'))), lambda l: l <> ''), chr(10)), '') AS text
+    FROM nodes n WHERE title <> '' AND regexp_full_match(coalesce(text, '') || title, '[\\x{20}-\\x{25}\\x{27}-\\x{3B}\\x{3D}\\x{3F}-\\x{7E}\\x{600}-\\x{6FF}\\x{200C}\\n]*') AND trim(title) = title AND length(text) > 300
+      AND len(list_distinct(string_split(text, chr(10)))) = len(string_split(text, chr(10))) AND NOT contains(title, '  ')""")
+def page_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages made of nodes, with a menu, a form that is never closed, a footer and comments, and their content read again.
+    Texts with markup, signs of other scripts or repeated lines are left to the tests, as SQL has no parser."""
+    rows = tables(spark, d, "nodes")[0].where("title != '' AND length(text) > 300 AND trim(title) = title AND instr(title, '  ') = 0")
+    rows = rows.where(F.concat("text", "title").rlike(r"^[\x{20}-\x{25}\x{27}-\x{3B}\x{3D}\x{3F}-\x{7E}\x{600}-\x{6FF}\x{200C}\n]*\z") & (F.size(F.array_distinct(F.split("text", "\n"))) == F.size(F.split("text", "\n"))))
+    page = F.concat(
+        F.lit("<html><head><title>site | x</title></head><body><nav><a href='/'>menu</a></nav><div class='page'><div><form><input name=q></div><article><h1>"), F.col("title"), F.lit("</h1><p>"),
+        F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><div class='comments'>c</div></article></div><footer>f</footer></body></html>"),
+    )
+    read = rows.select("row_id", html.content(page, F.lit("")).alias("c"))
+    return read.select("row_id", "c.title", "c.text")
+
+
 # --- order, pages --------------------------------------------------------------------------------------------------
 @query("""
     WITH l AS (SELECT doc_id, i, lines[i] AS line, lines[i - 1] AS before FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i))

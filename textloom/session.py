@@ -31,12 +31,16 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, as in local tests, a temporary one becomes it."""
+    """The folder of spark.checkpoint.dir. Where it is unset, as in local tests, a temporary one becomes it; on a cluster, whose
+    machines don't share such a folder, that raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(folder)
         atexit.register(shutil.rmtree, folder, True)

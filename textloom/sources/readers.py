@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LINE_END = re.compile(r"\r\n|\r|\n")
 MANIFEST = "type string, title string, file_url string, type_file string"
 COMPANION = "file_url string, id string, page_id string, detail_url string, mime_type string, access_status string, http_status int, local_path string"
 
 
-def jsonl_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records with source_file and their physical 1-based source_line; a byte order mark and blank lines are passed over,
-    lines that aren't objects give NULL records. A file is read as a whole in one task, as its line numbers demand."""
+def jsonl_numbered(spark: SparkSession, path: str, schema: str, bad: str = "null") -> DataFrame:
+    """Records with source_file and their physical 1-based source_line; a byte order mark and blank lines are passed over.
+    Lines that aren't objects give NULL records, or are left out (bad = "drop"), or raise (bad = "raise"). A file is read as a whole in one task, as its line numbers demand."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = pa.schema([("source_file", pa.string()), ("source_line", pa.int32()), ("line", pa.string())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for name, content in zip(*(c.to_pylist() for c in part.columns)):
-                found = [(i, x) for i, x in enumerate(content.decode("utf-8-sig").splitlines(), 1) if x.strip()]
+                found = [(i, x) for i, x in enumerate(_LINE_END.split(content.decode("utf-8-sig")), 1) if x.strip()]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([i for i, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())], schema=out)
 
     rows = files.mapInArrow(run, "source_file string, source_line int, line string")
-    return rows.select("source_file", "source_line", F.from_json("line", schema).alias("record"))
+    mode = {"mode": "FAILFAST" if bad == "raise" else "PERMISSIVE"}
+    record = F.when(F.ltrim("line").startswith("{"), F.from_json("line", schema, mode)) if bad != "raise" else F.from_json("line", schema, mode)
+    rows = rows.select("source_file", "source_line", record.alias("record"))
+    return rows.where("record IS NOT NULL") if bad == "drop" else rows
 
 
 def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -67,6 +72,12 @@ def queue(rows: DataFrame, status: str, key: str, limit: int | None = None) -> D
     return left.limit(limit) if limit else left
 
 
+def advice_queue(rows: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Profiles whose details are done, whose consultations aren't and that have a URL of them, in the order of ``queue``."""
+    ready = rows.where((F.col("detail_status") == "done") & (F.length("advice_url") > 0))
+    return queue(ready, "advice_status", key, limit)
+
+
 def id_range(spark: SparkSession, first: int, last: int, done: DataFrame, key: str = "id") -> DataFrame:
     return spark.range(first, last + 1).withColumnRenamed("id", key).join(done.select(key), key, "left_anti")
 

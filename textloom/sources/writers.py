@@ -11,7 +11,9 @@ def routed_jsonl(df: DataFrame, path: str, by: str = "type") -> None:
     df.withColumn("_by", F.col(by)).repartition("_by", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("overwrite").partitionBy("_by").json(path)
 
 
-def jsonl(df: DataFrame, path: str) -> None:
+def jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """JSON lines; in a total order over all files if asked: ranges are sorted, and files are named in their order."""
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     df.write.mode("overwrite").json(path)
 
 
@@ -34,12 +36,13 @@ def sharded(df: DataFrame, path: str) -> None:
 def upsert_parquet(df: DataFrame, path: str, key: str) -> None:
     """Points by key into a new version of a table: rows of df replace those of the same key."""
     spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         df.write.parquet(path)
         return
     from ..session import written
 
+    old = spark.read.parquet(path)
+
     new = written(old.join(df.select(key), key, "left_anti").unionByName(df), "upsert")
     new.write.mode("overwrite").parquet(path)

@@ -13,6 +13,16 @@ def events(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
+def unfinished(rows: DataFrame, old: DataFrame | None = None, terminal: tuple[str, ...] = ()) -> DataFrame:
+    """Events that count: none of a page whose state is terminal, none after its first terminal event."""
+    if not terminal:
+        return rows
+    if old is not None:
+        rows = rows.join(old.where(F.col("status").isin(*terminal)).select("url"), "url", "left_anti")
+    ends = rows.where(F.col("status").isin(*terminal)).groupBy("url").agg(F.min("fetched_at").alias("_end"))
+    return rows.join(ends, "url", "left").where("_end IS NULL OR fetched_at <= _end").drop("_end")
+
+
 def state_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(
         F.count("*").alias("attempt_count"), F.max_by("status", F.struct("fetched_at", "status")).alias("status"),
@@ -29,12 +39,13 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def keep_state(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merges each batch into a version of its own: ``path/version=<batch>``; a batch that comes again writes the same version."""
+def keep_state(stream: DataFrame, path: str, checkpoint: str, terminal: tuple[str, ...] = ()) -> StreamingQuery:
+    """Merges each batch into a version of its own: ``path/version=<batch>``; a batch that comes again writes the same version.
+    Pages in a terminal state stay as they are."""
 
     def write(batch: DataFrame, number: int) -> None:
-        new, spark = state_of(batch), batch.sparkSession
-        old = spark.read.parquet(f"{path}/version={number - 1}") if number else None
+        old = batch.sparkSession.read.parquet(f"{path}/version={number - 1}") if number else None
+        new = state_of(unfinished(batch, old, terminal))
         (merged(old, new) if old is not None else new).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
