@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .bitmaps import bitmap_of, members
 from .confusables import consistent
-from .words import mix, runs, word
+from .words import _RUN, lower_words, mix
 
 # Function words that mark a language.
 FUNCTION_WORDS = {
@@ -160,9 +160,12 @@ def _guides(sentences: list[str]) -> int:
 
 
 def copied_share(answer: list[str], question: list[str]) -> float:
-    """Share of the answer's words inside runs of three words of the question."""
+    """Share of the answer's words inside runs of three words of the question; 0 for what surely is no copy."""
     if not answer or not question:
         return 0.0
+    asked = set(question)
+    if sum(w in asked for w in answer) < COPIED * len(answer):
+        return 0.0  # fewer words of the question, in runs or not, than make a copy
     k = min(3, len(answer))
     of = {tuple(question[i : i + k]) for i in range(len(question) - k + 1)}
     covered = np.zeros(len(answer), bool)
@@ -177,7 +180,7 @@ def direct_defect(q: str | None, a: str | None, model: Languages) -> str | None:
     if not a or not _LETTER.search(a):
         return "empty"
     q, a = consistent(q or ""), consistent(a)
-    aw, qw = [word(r) for r in runs(a)], [word(r) for r in runs(q)]
+    aw, qw = lower_words(a), lower_words(q)
     if copied_share(aw, qw) >= COPIED:
         return "copied_question"
     if DECLINE.search(a):
@@ -204,7 +207,7 @@ def _learn(bitmap: np.ndarray, schema: pa.Schema):
                 for t in (q, a):
                     if t:
                         c = consistent(t)
-                        i = marked_language([w.lower() for w in runs(c)])
+                        i = marked_language(_RUN.findall(c.lower()))
                         if i >= 0:
                             np.add.at(by_language[i], grams(c), 1)
                         if t is a:

@@ -26,6 +26,12 @@ def word(run: str) -> str:
     return run.lower().translate(_ASCII_DIGITS)
 
 
+def lower_words(text: str) -> list[str]:
+    """Runs of a text in consistent form that is changed to lower case and ASCII digits as a whole: the words of ``words``, but
+    for letters whose lower case is more than a letter, at which a run ends."""
+    return _RUN.findall(text.lower().translate(_ASCII_DIGITS))
+
+
 def words(text: str | None) -> list[str]:
     return [word(r) for r in runs(text)]
 
