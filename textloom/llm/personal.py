@@ -402,56 +402,74 @@ def learn(texts: DataFrame, register: DataFrame) -> Lexicon:
     return Lexicon(words, tuple(bitmap_of(words.where(F.col("kinds").bitwiseAND(1 << i) > 0).select("h")) for i in range(3)))
 
 
-_SPANS = pa.schema([("u", pa.int64()), ("type", pa.string()), *[(n, pa.int32()) for n in ("i", "start", "end", "kind", "gap")], ("h", pa.int64())])
+_SPANS = [("u", pa.int64()), ("type", pa.string()), *[(n, pa.int32()) for n in ("i", "start", "end", "kind", "gap")], ("h", pa.int64())]
+_SPANS_DDL = "u long, type string, i int, start int, end int, kind int, gap int, h long"
+_ITEMS = [("pii_type", pa.string()), ("occurrence", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+_ITEMS_DDL = "pii_type string, occurrence int, start int, end int"
 
 
-def _scan(maps: tuple[np.ndarray, ...]):
+def _carried(part: pa.RecordBatch, keys: list[str], at: list[int], rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
+    """Rows beside the keys of the batch's rows that they come from."""
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    kept = [part.column(k).take(pa.array(at, pa.int64())) for k in keys]
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, (_, t) in zip(columns, fields)]], names=[*keys, *[n for n, _ in fields]])
+
+
+def _scan(maps: tuple[np.ndarray, ...], keys: list[str]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _maybe(maps)
         for part in parts:
             rows: list[tuple] = []
-            for u, text in zip(*(c.to_pylist() for c in part.columns)):
+            at: list[int] = []
+            for n, (u, text) in enumerate(zip(part.column("u").to_pylist(), part.column("t").to_pylist())):
                 s, place = aligned(text)
                 spot = (lambda a, b: (a, b)) if place is None else (lambda a, b: (place[a], place[b - 1] + 1))
                 found, said = tokens(s, kind)
                 rows += [(u, t, 0, *spot(a, b), 0, 0, None) for a, b, t in forms(s, said)]
                 rows += [(u, None, i, *spot(a, b), k, gap, None if k & 8 else h - (1 << 64) if h >> 63 else h) for i, a, b, k, h, gap in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_SPANS), _SPANS)], schema=_SPANS)
+                at += [n] * (len(rows) - len(at))
+            yield _carried(part, keys, at, rows, _SPANS)
 
     return run
 
 
-def _item_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        rows: list[tuple] = []
-        for u, spans in zip(*(c.to_pylist() for c in part.columns)):
-            found = [(x["start"], x["end"], x["type"]) for x in spans if x["type"]]
-            words = sorted((x["i"], x["start"], x["end"], x["kind"], 0, x["gap"]) for x in spans if not x["type"])
-            seen: Counter = Counter()
-            for a, b, t in with_names(found, names(words)):
-                seen[t] += 1
-                rows.append((u, t, seen[t], a, b))
-        types = pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["u", "pii_type", "occurrence", "start", "end"])
-
-
-def _items(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(u, pii_type, occurrence, start, end) of texts (u, t), u being unique."""
-    schema = "u long, type string, i int, start int, end int, kind int, gap int, h long"
-    spans = written(texts.where(F.length("t") > 0).mapInArrow(_scan(lexicon.maps), schema), "spans")
+def _item_rows(keys: list[str]):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows: list[tuple] = []
+            at: list[int] = []
+            for n, spans in enumerate(part.column("spans").to_pylist()):
+                found = [(x["start"], x["end"], x["type"]) for x in spans if x["type"]]
+                words = sorted((x["i"], x["start"], x["end"], x["kind"], 0, x["gap"]) for x in spans if not x["type"])
+                seen: Counter = Counter()
+                for a, b, t in with_names(found, names(words)):
+                    seen[t] += 1
+                    rows.append((t, seen[t], a, b))
+                at += [n] * (len(rows) - len(at))
+            yield _carried(part, keys, at, rows, _ITEMS)
+
+    return run
+
+
+def _items(texts: DataFrame, keys: list[str], lexicon: Lexicon) -> DataFrame:
+    """The keys, pii_type, occurrence, start, end of texts (u, t and keys). u may be a number that is drawn anew with every
+    run: the marks that carry it are written before they are grouped."""
+    kinds = ", ".join(f"{k} {dict(texts.dtypes)[k]}" for k in keys)
+    spans = texts.where(F.length("t") > 0).mapInArrow(_scan(lexicon.maps, keys), f"{kinds}, {_SPANS_DDL}")
+    spans = written(spans, "spans")
     true = spans.where("h IS NOT NULL").join(lexicon.words, "h").withColumn("kind", F.col("kinds")).select(*spans.columns)
-    whole = spans.where("h IS NULL").unionByName(true).groupBy("u").agg(F.collect_list(F.struct("type", "i", "start", "end", "kind", "gap")).alias("spans"))
-    return whole.mapInArrow(_item_rows, "u long, pii_type string, occurrence int, start int, end int")
+    whole = spans.where("h IS NULL").unionByName(true)
+    whole = whole.groupBy("u").agg(*[F.first(k).alias(k) for k in keys], F.collect_list(F.struct("type", "i", "start", "end", "kind", "gap")).alias("spans"))
+    return whole.mapInArrow(_item_rows(keys), f"{kinds}, {_ITEMS_DDL}")
 
 
-def found_items(df: DataFrame, key: str, field: str, lexicon: Lexicon) -> DataFrame:
-    """(key, pii_type, occurrence, start, end): occurrence counts 1, 2, … in text order among items of a type in a value."""
-    texts = df.select(F.col(key).alias("k"), F.col(field).alias("t"))
-    kinds = dict(df.dtypes)
-    if kinds[key] == "bigint" and not texts.where("k IS NULL").head(1) and not texts.groupBy("k").count().where("count > 1").head(1):
-        return _items(texts.select(F.col("k").alias("u"), "t"), lexicon).withColumnRenamed("u", key)
-    texts = written(texts.withColumn("u", F.monotonically_increasing_id()), "texts")
-    return _items(texts.select("u", "t"), lexicon).join(texts.select("u", "k"), "u").select(F.col("k").alias(key), "pii_type", "occurrence", "start", "end")
+def found_items(df: DataFrame, key: str | list[str], field: str, lexicon: Lexicon) -> DataFrame:
+    """(the key columns, pii_type, occurrence, start, end): occurrence counts 1, 2, … in text order among items of a type in a
+    value. Each row of df counts for itself, whatever its keys."""
+    names_ = [key] if isinstance(key, str) else key
+    keys = [f"k{i}" for i in range(len(names_))]
+    texts = df.select(*[F.col(n).alias(k) for n, k in zip(names_, keys)], F.monotonically_increasing_id().alias("u"), F.col(field).alias("t"))
+    return _items(texts, keys, lexicon).withColumnsRenamed(dict(zip(keys, names_)))
 
 
 def redacted(df: DataFrame, fields: list[str], lexicon: Lexicon) -> DataFrame:
@@ -459,15 +477,15 @@ def redacted(df: DataFrame, fields: list[str], lexicon: Lexicon) -> DataFrame:
     u = "_u"
     while u in df.columns:
         u += "_"
-    out = written(df.withColumn(u, F.monotonically_increasing_id()), "texts")
+    out = base = written(df.withColumn(u, F.monotonically_increasing_id()), "texts")
 
     @F.arrow_udf("string")
     def replace(values: pa.Array, spans: pa.Array) -> pa.Array:
         rows = [replaced(t, sorted((x["start"], x["end"], x["pii_type"]) for x in s)) if t and s else t for t, s in zip(values.to_pylist(), spans.to_pylist())]
         return pa.array(rows, pa.string())
 
-    base = out
     for f in fields:
-        spans = _items(base.select(F.col(u).alias("u"), F.col(f).alias("t")), lexicon).groupBy("u").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("spans"))
-        out = out.join(spans.withColumnsRenamed({"u": u, "spans": u + f}), u, "left").withColumn(f, replace(F.col(f), F.col(u + f))).drop(u + f)
+        texts = base.select(F.col(u).alias("u"), F.col(u).alias("k"), F.col(f).alias("t"))
+        spans = _items(texts, ["k"], lexicon).groupBy("k").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("spans"))
+        out = out.join(spans.withColumnsRenamed({"k": u, "spans": u + f}), u, "left").withColumn(f, replace(F.col(f), F.col(u + f))).drop(u + f)
     return out.select(*df.columns)

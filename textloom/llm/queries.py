@@ -25,12 +25,9 @@ def _lexicon(spark: SparkSession, d: str) -> personal.Lexicon:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = _lexicon(spark, d)
-    parts = []
-    for t, f in P1_FIELDS:
-        found = personal.found_items(tables(spark, d, t)[0], "row_id", f, lexicon)
-        parts.append(found.select(F.lit(t).alias("table_name"), "row_id", F.lit(f).alias("field_name"), "pii_type", "occurrence"))
-    return _union(parts)
+    named = [tables(spark, d, t)[0].select(F.lit(t).alias("table_name"), "row_id", F.lit(f).alias("field_name"), F.col(f).alias("text")) for t, f in P1_FIELDS]
+    keys = ["table_name", "row_id", "field_name"]
+    return personal.found_items(_union(named), keys, "text", _lexicon(spark, d)).select(*keys, "pii_type", "occurrence")
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
