@@ -321,3 +321,34 @@ def test_sequences(spark):
     pages = spark.createDataFrame([("l", i, n) for i, n in enumerate([3, 0, 2, 0, 0, 5, 0])], "l string, p int, n int")
     assert [r.p for r in sequences.until_empty(pages, "l", "p", "n", 2).orderBy("p").collect()] == [0, 1, 2, 3, 4]
     assert rows(sequences.unique_match(spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), (None, 3)], "k string, v int"), "k", "v")) == [("a", 1)]
+
+
+def test_hits_with_nested_payloads(spark):
+    schema = "id string, score double, payload struct<entity_id:string, text:string, name:string, labels:array<string>, metadata:struct<entity_id:string, chunk_id:string, title:string, text:string, document_type:string, access_status:string, file_url:string>>"
+    nested = ("m", "c", "عنوان", "متن دوم", "نوع", "reference_only", "u")
+    data = [("1", 0.5, ("e", " متن ", "n", ["Article"], None)), ("2", 0.4, ("", "", None, ["Article"], nested)), (" ", 0.3, ("e", "t", None, None, None)), ("4", 0.2, (None, "t", None, None, (None, "c4", *[None] * 5))), ("5", 0.1, (None, "t", None, None, None))]
+    got = {r.evidence_id: r for r in evidence.from_hits(spark.createDataFrame(data, schema)).collect()}
+    assert set(got) == {"vector:1", "vector:2", "vector:4"}
+    one, two, four = got["vector:1"], got["vector:2"], got["vector:4"]
+    assert (one.entity_id, one.title, one.text, one.authority, one.source_type) == ("e", "n", "متن", "primary", "Article")
+    assert (two.entity_id, two.title, two.text, two.source_type, two.authority, two.source_uri) == ("m", "عنوان", "متن دوم", "نوع", "secondary", "u")
+    assert (four.entity_id, four.title, four.source_type) == ("c4", "c4", "legal_source")
+
+
+def test_budgets(spark):
+    calls = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("r", 3, "c")], "run_id string, call int, evidence_id string")
+    assert [r.evidence_id for r in evidence.within_calls(calls, 2).collect()] == ["a", "b"]
+    lists = [spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, rank int"), spark.createDataFrame([("c", 1), ("a", 2)], "k string, rank int")]
+    assert {r.k: round(r.score, 6) for r in evidence.fused(lists, "k", 60, 1).collect()} == {"a": round(1 / 61, 6), "c": round(1 / 61, 6)}
+
+
+def test_stages_are_discarded(spark):
+    from pathlib import Path
+
+    from textloom import session
+
+    session.written(spark.range(3), "x").count()
+    folder = Path(session._stages(spark).removeprefix("file://").removeprefix("file:"))
+    assert any(folder.iterdir())
+    session.discard_stages(spark)
+    assert not folder.exists()

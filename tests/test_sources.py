@@ -104,6 +104,15 @@ def test_lawyer_profile(spark):
     assert p[0].p.specialties == ["خانواده", "ملک"] and p[0].p.about == "وکیل\nپایه یک\ns@r.example"
 
 
+def test_categories(spark):
+    pages = [
+        '<a href="/rules/childs/3">خانواده</a><a href="/rules/childs/4/x">کار</a><a href="/x">z</a>', "<nav><a>صفحه اصلی</a><span>فایل حقوقی</span><span>ثبت</span></nav><h1>عنوان</h1>",
+        "<ul class=breadcrumb><li>بیمه</li><li>عنوان</li></ul><h1>عنوان</h1>", "<p>x</p>", None,
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string")
+    assert [r.c for r in df.select("i", html.category("h").alias("c")).orderBy("i").collect()] == ["کار", "ثبت", "بیمه", "نامشخص", None]
+
+
 def test_profile_links(spark):
     page = """<div class=card><h3>سارا راد</h3><p><a href="/lawyer-information.php?lawyerID=5#top">مشاهده سوابق</a></p></div>
     <div><a href="/lawyer-information.php?lawyerID=6">نام دوم</a></div><div><div><a href="lawyer-information.php?x=1&lawyerID=7"></a></div><img alt="نام سوم"></div><a href="/lawyer-information.php">z</a>"""
@@ -157,6 +166,15 @@ def test_writers(spark, tmp_path):
     assert sorted((r.id, r.type) for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [(1, "a"), (2, "c")]
 
 
+def test_marked_and_ordered_csv(spark, tmp_path):
+    df = spark.createDataFrame([(i, "متن") for i in range(300, 0, -1)], "id long, t string")
+    writers.csv(df, str(tmp_path / "c"), order=["id"], mark=True)
+    files = sorted((tmp_path / "c").glob("part-*"))
+    assert all(f.read_bytes().startswith("\ufeffid,t".encode()) for f in files)
+    read = [int(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+    assert read == list(range(1, 301))
+
+
 def test_crawl_log(spark, tmp_path):
     source, state = tmp_path / "in", str(tmp_path / "state")
     source.mkdir()

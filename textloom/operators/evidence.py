@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import excerpt, markers, strip_markers
 
@@ -42,6 +43,11 @@ def best(df: DataFrame, keys: list[str], score: str = "score", position: str = "
     return df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(F.col(score), -F.col(position))).alias("r")).select(*keys, "r.*")
 
 
+def within_calls(calls: DataFrame, most: int, call: str = "call") -> DataFrame:
+    """Rows of the first calls of each run, numbered from 1: what comes after the budget adds no evidence."""
+    return calls.where(F.col(call) <= most)
+
+
 def ledger(calls: DataFrame, run: str = "run_id") -> DataFrame:
     """(run, evidence_id, source_id, …): the best row of each evidence, numbered S1, S2, … by first appearance."""
     from .chunks import numbered
@@ -95,8 +101,9 @@ def tail(messages: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return messages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def fused(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of rankings (key, rank)."""
+def fused(lists: list[DataFrame], key: str, k: int = 60, most: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of rankings (key, rank), of each the first ``most`` places if asked."""
+    lists = lists if most is None else [x.where(F.col("rank") <= most) for x in lists]
     rows = lists[0].select(key, "rank")
     for x in lists[1:]:
         rows = rows.unionByName(x.select(key, "rank"))
@@ -137,17 +144,37 @@ def tool_rows(sources: DataFrame) -> DataFrame:
     return sources.select(*fields, F.round("score", 6).alias("score"))
 
 
+# Where the parts of an evidence may stand in a hit's payload, the first that isn't empty.
+PAYLOAD = {
+    "entity_id": ("entity_id", "metadata.entity_id", "chunk_id", "metadata.chunk_id", "document_id", "metadata.document_id"),
+    "text": ("text", "page_content", "metadata.text"), "title": ("title", "metadata.title", "name"),
+    "source_uri": ("url", "file_url", "metadata.source_uri", "metadata.file_url"), "access_status": ("access_status", "metadata.access_status"),
+    "kind": ("node_type", "metadata.document_type"), "labels": ("labels", "metadata.labels"),
+}
+
+
 def from_hits(hits: DataFrame) -> DataFrame:
-    """Evidence of vector hits (id, score, payload): flat fields first; hits without an entity or text are left out."""
+    """Evidence of vector hits (id, score, payload): fields of the payload itself, else of its metadata, whichever of them are
+    there; hits without an id, an entity or a text are left out."""
     from ..functions.text import first_non_empty
 
-    p = hits.select("id", "score", "payload.*")
-    entity, text = F.trim(F.coalesce("entity_id", F.lit(""))), F.trim(F.coalesce("text", F.lit("")))
-    kind = first_non_empty("node_type", source_type(F.col("labels")))
-    status = F.col("access_status") if "access_status" in p.columns else F.lit(None).cast("string")
-    return p.where((entity != "") & (text != "")).select(
-        F.concat(F.lit("vector:"), F.col("id").cast("string")).alias("evidence_id"), entity.alias("entity_id"), first_non_empty("title", entity).alias("title"), text.alias("text"),
-        kind.alias("source_type"), authority(F.col("labels"), status).alias("authority"), F.col("score").cast("double").alias("score"), F.coalesce("url", F.lit("")).alias("source_uri"),
+    def holds(path: str) -> bool:
+        kind = hits.schema["payload"].dataType
+        for name in path.split("."):
+            if not isinstance(kind, T.StructType) or name not in kind.names:
+                return False
+            kind = kind[name].dataType
+        return True
+
+    own = {k: [F.col(f"payload.{x}") for x in paths if holds(x)] for k, paths in PAYLOAD.items()}
+    said = lambda k, *more: first_non_empty(*[c.cast("string") for c in own[k]], *more, F.lit(None).cast("string"))
+    labels = F.coalesce(*own["labels"], F.array().cast("array<string>"))
+    entity, text = F.trim(F.coalesce(said("entity_id"), F.lit(""))), F.trim(F.coalesce(said("text"), F.lit("")))
+    there = (F.trim(F.coalesce(F.col("id").cast("string"), F.lit(""))) != "") & (entity != "") & (text != "")
+    return hits.where(there).select(
+        F.concat(F.lit("vector:"), F.col("id").cast("string")).alias("evidence_id"), entity.alias("entity_id"), F.trim(said("title", entity)).alias("title"), text.alias("text"),
+        said("kind", source_type(labels)).alias("source_type"), authority(labels, said("access_status")).alias("authority"), F.col("score").cast("double").alias("score"),
+        F.coalesce(F.trim(said("source_uri")), F.lit("")).alias("source_uri"),
     )
 
 

@@ -474,7 +474,7 @@ def decision_authorities(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = tables(spark, d, "nodes", "relations")
     kinds = ("APPLIES", "IMPLEMENTS", "INTERPRETS_AMENDMENT", "REPEALS_OR_DISAPPLIES", "REFERENCES")
     decisions = nodes.where("type = 'decision'").select(F.col("id").alias("source_id")).distinct()
-    return edges.where(F.col("relation_type").isin(*kinds)).join(decisions, "source_id", "left_semi").select("source_id", "target_id", "relation_type", "confidence")
+    return edges.where(F.col("relation_type").isin(*kinds)).join(decisions, "source_id", "left_semi").select("source_id", "target_id", "relation_type", "confidence").orderBy("source_id", F.desc("confidence"), "target_id")
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------

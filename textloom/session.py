@@ -47,10 +47,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/stages/{spark.sparkContext.applicationId}"
+
+
+def discard_stages(spark: SparkSession) -> None:
+    """Deletes what this application wrote between its stages; results that aren't written elsewhere are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, whatever is lost later."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import unquote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -432,6 +432,37 @@ def lawyer_profile(html: Column | str) -> Column:
     return run(F.col(html) if isinstance(html, str) else html)
 
 
+# Members of a page's path that aren't its category, and the category of a page that names none.
+NO_CATEGORY, UNKNOWN_CATEGORY = frozenset(("صفحه اصلی", "صفحه‌اصلی", "فایل حقوقی")), "نامشخص"
+
+
+def read_category(page: str, pattern: str) -> str:
+    """The text of the last link to a category (by the decoded path of its address), else the last member of the page's path
+    beside its title."""
+    root = tree(page)
+    elements = [e for e in root.walk() if isinstance(e, Element)]
+    linked = (e.text() for e in elements if e.tag == "a" and re.search(pattern, unquote(urlsplit((e.attrs.get("href") or "").strip()).path)))
+    named = [t for t in linked if t]
+    if named:
+        return named[-1]
+    none = NO_CATEGORY | {tree_title(root, "")}
+    for box in sorted((e for e in elements if e.tag == "nav" or e.classes & frozenset(CRUMBS)), key=lambda e: e.tag != "nav"):
+        members = [t for e in box.walk() if isinstance(e, Element) and e.tag in ("a", "li", "span") and (t := e.text()) and t not in none]
+        if members:
+            return members[-1]
+    return UNKNOWN_CATEGORY
+
+
+def category(html: Column | str, pattern: str = r"/childs/\d+(?:/|$)") -> Column:
+    """``read_category`` as a column; NULL for NULL."""
+
+    @F.arrow_udf("string")
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([None if page is None else read_category(page, pattern) for page in pages.to_pylist()], pa.string())
+
+    return run(F.col(html) if isinstance(html, str) else html)
+
+
 CONTENT = "struct<title:string,text:string,access:string>"
 _CONTENT = pa.struct([(n, pa.string()) for n in ("title", "text", "access")])
 

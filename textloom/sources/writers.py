@@ -17,10 +17,13 @@ def jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def csv(df: DataFrame, path: str, separator: str = " | ") -> None:
-    """A CSV with lists joined by the separator and a header."""
+def csv(df: DataFrame, path: str, separator: str = " | ", order: list[str] | None = None, mark: bool = False) -> None:
+    """CSV files with lists joined by the separator and a header; in a total order over all files if asked, and with a byte
+    order mark in front of each file if asked."""
     lists = {f.name for f in df.schema if f.dataType.typeName() == "array"}
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     flat = df.select(*[F.concat_ws(separator, c).alias(c) if c in lists else F.col(c) for c in df.columns])
+    flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0]) if mark else flat
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
