@@ -920,9 +920,11 @@ def qa_optional_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT id, profile_url FROM (SELECT row_id AS id, profile_url, advice_status, lawyer_id, detail_status, advice_url FROM lawyers)
-    WHERE detail_status = 'done' AND length(advice_url) > 0 AND coalesce(advice_status, '') <> 'done'""")
+    WHERE detail_status IN ('done', 'pending') AND length(advice_url) > 0 AND coalesce(advice_status, '') <> 'done'""")
 def advice_queue(spark: SparkSession, d: str) -> DataFrame:
-    return readers.advice_queue(tables(spark, d, "lawyers")[0], "lawyer_id").select(F.col("row_id").alias("id"), "profile_url")
+    """The queue of consultations once the details that are pending have been read."""
+    rows = tables(spark, d, "lawyers")[0].withColumn("detail_status", F.when(F.col("detail_status") == "pending", "done").otherwise(F.col("detail_status")))
+    return readers.advice_queue(rows, "lawyer_id").select(F.col("row_id").alias("id"), "profile_url")
 
 
 @query("""
