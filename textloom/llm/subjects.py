@@ -1,9 +1,10 @@
 """Problem 9: subject areas of documents, by bisecting k-means and leaf mixtures.
 
 1. Document frequencies of hashed words and word pairs are counted over all documents.
-2. Normalised tf-idf vectors, hashed to ``DIMS`` numbers, are clustered by bisecting spherical k-means; the leaf with the
-   largest scatter is split next. The bisection of ``SAMPLE`` documents, chosen by a hash of the id whatever their labels,
-   gives the first centres; passes of k-means over all documents move them, and every document goes to a leaf.
+2. Normalised tf-idf vectors, hashed to ``DIMS`` numbers, are clustered by bisecting spherical k-means over all documents;
+   the leaf with the largest scatter is split next. Each pass takes all nodes that may be among the leaves a step on; a
+   node of at most ``HELD`` documents is bisected whole by one task. Passes of k-means over all documents move the leaves'
+   centres, and every document goes to a leaf.
 3. Leaves get a subject mixture from the labels in them, counted over all documents. Terms are discriminative by their
    log-odds in the subjects of their leaves; by them each sentence of the corpus goes to a subject, which gives terms and
    leaves their final odds and mixtures.
@@ -30,10 +31,15 @@ from .confusables import consistent
 from .words import mix, word
 
 BUCKETS = 1 << 16
-#: Length of a document's vector.
-DIMS = 512
-#: Documents that give the first centres.
-SAMPLE = 10_000
+#: Length of a document's vector, and its norm in the bisection, where numbers are whole: sums of products of two vectors, and
+#: of PART numbers, stay below 2 ** 24, so floats of 32 bits hold them exactly, in whatever order they are added.
+DIMS, NORM, PART = 512, 4000, 4096
+#: Documents that one task bisects whole: 64 MB.
+HELD = 1 << 16
+#: Vectors in a row of the stage that the passes read.
+PACK = 8
+#: Bytes that the tasks of a pass may send to the driver; if they have more, tasks join what they found.
+DIRECT = 1 << 24
 LEAVES, LEAST_LEAF, STEPS, MIXTURE_STEPS = 144, 4, 10, 6
 #: Passes of k-means over all documents.
 PASSES = 2
@@ -110,34 +116,93 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def bisect(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical 2-means, from the row farthest from the mean and the one farthest from that."""
-    own = x[rows]
-    a = own[(own @ own.sum(axis=0)).argmin()]
-    b = own[(own @ a).argmin()]
-    side = np.zeros(len(rows), bool)
-    for _ in range(STEPS):
-        new = own @ a >= own @ b
-        if (new == side).all() or new.all() or not new.any():
-            side = new
+def _plane(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole numbers; a row's product with them is at least 0 if it is as near to a as to b."""
+    return np.rint((_unit(a.astype(float)) - _unit(b.astype(float))) * (NORM / 2)).astype(np.float32)
+
+
+class Node:
+    """Documents of the bisection: their number, the sum of their vectors, and how far their spherical 2-means has come.
+
+    It begins from the row farthest from the mean and the one farthest from that; then come up to STEPS steps.
+    """
+
+    def __init__(self, n: int, total: np.ndarray, most: float = np.inf):
+        self.n, self.total = n, total
+        self.scatter = min(most, max(0.0, n - float(np.linalg.norm(total)) / NORM)) if n >= 2 * LEAST_LEAF else 0.0
+        self.v = np.rint(_unit(total.astype(float)) * NORM).astype(np.float32)
+        self.step, self.side, self.below = -2, (0, total), ()
+
+    @property
+    def rank(self) -> tuple[float, bytes]:
+        """The least is split next."""
+        return -self.scatter, self.total.tobytes()
+
+    @property
+    def seeks(self) -> bool:
+        return self.step < 0
+
+    def met(self, n: int, x: np.ndarray) -> bool:
+        """Takes what the rows gave for the direction ``v``; whether that was the last step."""
+        if self.seeks:
+            self.v = _plane(self.side[1], x) if self.step == -1 else x.astype(np.float32)
+            self.side, self.step = (0, x), self.step + 1
+            return False
+        same = n == self.side[0] and bool((x == self.side[1]).all())
+        self.side, self.step = (n, x), self.step + 1
+        if same or self.step == STEPS or not 0 < n < self.n:
+            return True
+        self.v = _plane(x, self.total - x)
+        return False
+
+    def parts(self) -> tuple[Node, Node] | None:
+        n, x = self.side
+        return (Node(n, x, self.scatter), Node(self.n - n, self.total - x, self.scatter)) if 0 < n < self.n else None
+
+
+def _look(own: np.ndarray, v: np.ndarray, seeks: bool) -> tuple[int, bytes | np.ndarray]:
+    """Of at most PART rows, (product, row) with the least product with v; or number and sum of the rows where it is 0 or more."""
+    value = own @ v
+    if seeks:
+        return int(value.min()), min(x.astype(np.int16).tobytes() for x in own[value == value.min()])
+    side = value >= 0
+    return int(side.sum()), (side.astype(np.float32) @ own).astype(np.int64)
+
+
+def _joined(a: tuple | None, b: tuple, seeks: bool) -> tuple[int, bytes | np.ndarray]:
+    return b if a is None else min(a, b) if seeks else (a[0] + b[0], a[1] + b[1])
+
+
+def _found(x: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(x, np.int16).astype(np.int64) if isinstance(x, bytes) else x
+
+
+def bisected(x: np.ndarray, root: Node, most: int) -> list[tuple[int, int, np.ndarray]]:
+    """Up to ``most`` splits of the rows of x, all of them those of root, by falling scatter: (node, number and sum of its first part).
+
+    Nodes are numbered as they come, the two parts of the i-th split 2 i + 1 and 2 i + 2.
+    """
+    nodes, rows, open_, out = [root], [np.arange(len(x))], {0}, []
+    while len(out) < most and open_:
+        i = min(open_, key=lambda j: nodes[j].rank)
+        node, own = nodes[i], rows[i]
+        open_.remove(i)
+        if not node.scatter:
             break
-        side = new
-        a, b = _unit(own[side].sum(axis=0)), _unit(own[~side].sum(axis=0))
-    return rows[side], rows[~side]
-
-
-def leaves(x: np.ndarray, most: int) -> list[np.ndarray]:
-    """Leaves of the bisection of the rows of x; the leaf with the largest scatter about its mean is split next."""
-    scatter = lambda r: len(r) - float(np.linalg.norm(x[r].sum(axis=0))) if len(r) >= 2 * LEAST_LEAF else 0.0
-    found, scatters = [np.arange(len(x))], [scatter(np.arange(len(x)))]
-    while len(found) < most and max(scatters) > 0:
-        i = int(np.argmax(scatters))
-        a, b = bisect(x, found[i])
-        if len(a) and len(b):
-            found[i : i + 1], scatters[i : i + 1] = [a, b], [scatter(a), scatter(b)]
-        else:
-            scatters[i] = 0.0
-    return found
+        done = False
+        while not done:
+            seen = None
+            for at in range(0, len(own), PART):
+                seen = _joined(seen, _look(x[own[at : at + PART]].astype(np.float32), node.v, node.seeks), node.seeks)
+            done = node.met(seen[0], _found(seen[1]))
+        if parts := node.parts():
+            side = np.concatenate([x[own[at : at + PART]].astype(np.float32) @ node.v >= 0 for at in range(0, len(own), PART)])
+            open_ |= {len(nodes), len(nodes) + 1}
+            nodes += parts
+            rows += [own[side], own[~side]]
+            rows[i] = own[:0]
+            out.append((i, *node.side))
+    return out
 
 
 def _log_odds(counts: np.ndarray, whole: np.ndarray, prior: float = 4.0) -> np.ndarray:
@@ -292,32 +357,183 @@ def _added(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], s
     return out.ravel()[: shape[0] * shape[1]].reshape(shape)
 
 
-def cluster(records: DataFrame, df: np.ndarray, n: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, centres: leaves x DIMS). Bisection of ``sample`` documents, whatever their labels, gives the first centres;
-    then all documents move them. The sample's vectors, DIMS half-precision numbers each, reach the driver."""
+def packed(x: np.ndarray, each: int = PACK) -> pa.RecordBatch:
+    """Whole numbers (n, x): the rows of x, ``each`` in a row, compressed."""
+    x = x.astype(np.int16)
+    parts = [x[at : at + each] for at in range(0, len(x), each)]
+    columns = [pa.array([len(y) for y in parts], pa.int32()), pa.array([pa.compress(y.tobytes(), codec="lz4_raw", asbytes=True) for y in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["n", "x"])
+
+
+def _rows(p: pa.RecordBatch | pa.Table) -> np.ndarray:
+    size = np.dtype(np.int16).itemsize * DIMS
+    parts = [pa.decompress(x, n * size, codec="lz4_raw") for n, x in zip(p.column("n").to_pylist(), p.column("x").to_pylist())]
+    return np.frombuffer(b"".join(parts), np.int16).reshape(-1, DIMS)
+
+
+class Tree:
+    """Nodes of the bisection; a node that is split has its two parts in ``below``."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+
+    def split(self, i: int, parts: tuple[Node, Node]) -> None:
+        self.nodes[i].below = (len(self.nodes), len(self.nodes) + 1)
+        self.nodes += parts
+
+    def wanted(self) -> list[int]:
+        """Nodes to be split yet that may be among the LEAVES - 1 splits: no part scatters more than the whole."""
+        first = sorted((i for i, x in enumerate(self.nodes) if x.scatter > 0), key=lambda i: self.nodes[i].rank)
+        return [i for i in first[: LEAVES - 1] if not self.nodes[i].below]
+
+    def left(self, i: int) -> int:
+        """Splits that nodes with more scatter leave to this node and its parts."""
+        return LEAVES - 1 - sum(x.scatter > self.nodes[i].scatter for x in self.nodes if x.below)
+
+    def leaves(self) -> list[Node]:
+        out = [0]
+        while len(out) < LEAVES and (split := [i for i in out if self.nodes[i].below]):
+            i = min(split, key=lambda j: self.nodes[j].rank)
+            at = out.index(i)
+            out[at : at + 1] = self.nodes[i].below
+        return [self.nodes[i] for i in out]
+
+    def placer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Gives the node that isn't split of each row."""
+        inner = [i for i, x in enumerate(self.nodes) if x.below]
+        planes = np.array([self.nodes[i].v for i in inner], np.float32).reshape(-1, DIMS).T
+        plane, below = np.full(len(self.nodes), -1), np.zeros((len(self.nodes), 2), np.int64)
+        plane[inner] = np.arange(len(inner))
+        for i in inner:
+            below[i] = self.nodes[i].below
+
+        def place(x: np.ndarray) -> np.ndarray:
+            at, every = np.zeros(len(x), np.int64), np.arange(len(x))
+            if len(inner):
+                second = (x @ planes < 0).astype(np.int64)
+                while (deeper := plane[at] >= 0).any():
+                    at = np.where(deeper, below[at, second[every, plane[at]]], at)
+            return at
+
+        return place
+
+
+def _by_node(parts: Iterator[pa.RecordBatch], place: Callable[[np.ndarray], np.ndarray], wanted: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, rows of it), at most PART, for the wanted nodes."""
+    for part in parts:
+        for start in range(0, part.num_rows, PART // PACK):
+            x = _rows(part.slice(start, PART // PACK)).astype(np.float32)
+            at = place(x)
+            order = np.argsort(at, kind="stable")
+            nodes, first = np.unique(at[order], return_index=True)
+            for i, own in zip(nodes.tolist(), np.split(order, first[1:])):
+                if i in wanted:
+                    yield i, x[own]
+
+
+def _looked(vectors: DataFrame, place: Callable[[np.ndarray], np.ndarray], directions: dict[int, tuple[np.ndarray, bool]], direct: bool) -> dict[int, tuple[int, np.ndarray]]:
+    """What ``_look`` finds for the direction of each node, in one pass: if not direct, one row of fixed size a node reaches the driver."""
+    schema = pa.schema([("node", pa.int32()), ("n", pa.int64()), ("x", pa.binary())])
+
+    def batch(found: dict[int, tuple]) -> pa.RecordBatch:
+        xs = [x if isinstance(x, bytes) else x.tobytes() for _, x in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array(xs, pa.binary())], schema=schema)
+
+    def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for i, own in _by_node(parts, place, set(directions)):
+            found[i] = _joined(found.get(i), _look(own, *directions[i]), directions[i][1])
+        yield batch(found)
+
+    def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple] = {}
+        for part in parts:
+            for i, n, x in zip(*[c.to_pylist() for c in part.columns]):
+                seeks = directions[i][1]
+                found[i] = _joined(found.get(i), (n, x if seeks else np.frombuffer(x, np.int64)), seeks)
+        yield batch(found)
+
+    form = "node int, n long, x binary"
+    rows = vectors.mapInArrow(look, form)
+    if not direct:
+        rows = rows.repartition("node").mapInArrow(total, form)
+    found: dict[int, tuple] = {}
+    for i, n, x in rows.collect():
+        seeks = directions[i][1]
+        found[i] = _joined(found.get(i), (n, bytes(x) if seeks else np.frombuffer(x, np.int64)), seeks)
+    return {i: (n, _found(x)) for i, (n, x) in found.items()}
+
+
+def _split_whole(vectors: DataFrame, tree: Tree, wanted: list[int]) -> None:
+    """Bisects nodes that a task can hold, each in one task: at most LEAVES splits of each reach the driver."""
+    place, nodes = tree.placer(), set(wanted)
+    own, most = {i: tree.nodes[i] for i in wanted}, {i: tree.left(i) for i in wanted}
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, x in _by_node(parts, place, nodes):
+            p = packed(x, PART)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *p.columns], names=["node", "n", "x"])
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        found = bisected(_rows(rows), own[i], most[i])
+        columns = [[i] * len(found), list(range(len(found))), [j for j, _, _ in found], [n for _, n, _ in found], [t.tobytes() for _, _, t in found]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["node", "i", "of", "n", "x"])
+
+    sent = vectors.mapInArrow(send, "node int, n int, x binary").groupBy("node").applyInArrow(run, "node int, i int, of int, n long, x binary")
+    ids: dict[int, list[int]] = {i: [i] for i in wanted}
+    for i, _, of, n, x in sorted(sent.collect(), key=lambda r: (r[0], r[1])):
+        node = tree.nodes[ids[i][of]]
+        node.side = n, np.frombuffer(x, np.int64)
+        tree.split(ids[i][of], node.parts())
+        ids[i] += node.below
+    for j in (j for own_ids in ids.values() for j in own_ids):
+        if not tree.nodes[j].below:
+            tree.nodes[j].scatter = 0.0  # not to be split, or beyond the last split
+
+
+def bisection(vectors: DataFrame, held: int = HELD, most: int = DIRECT) -> list[Node]:
+    """Leaves of the bisection of all vectors, ``packed``: the leaf with the largest scatter is split next."""
+    nothing, tasks, each = np.zeros(DIMS, np.float32), vectors.rdd.getNumPartitions(), np.dtype(np.int64).itemsize * DIMS
+    tree = Tree(Node(0, nothing))
+    tree = Tree(Node(*_looked(vectors, tree.placer(), {0: (nothing, False)}, tasks * each <= most).get(0, (0, nothing))))
+    while wanted := tree.wanted():
+        large = [i for i in wanted if tree.nodes[i].n > held]
+        if not large:
+            _split_whole(vectors, tree, wanted)
+            continue
+        directions = {i: (tree.nodes[i].v, tree.nodes[i].seeks) for i in large}
+        for i, found in _looked(vectors, tree.placer(), directions, tasks * len(large) * each <= most).items():
+            node = tree.nodes[i]
+            if node.met(*found):
+                if parts := node.parts():
+                    tree.split(i, parts)
+                else:
+                    node.scatter = 0.0
+    return tree.leaves()
+
+
+def cluster(records: DataFrame, df: np.ndarray, n: int, sample: int | None = None, held: int = HELD) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, centres: leaves x DIMS), by the bisection of all documents and passes of k-means over them.
+
+    Earlier callers give ``sample``; it has no effect, as nothing is sampled.
+    """
     idf = (np.log((n + 1) / (df + 1)) * (df > 1)).astype(np.float32)
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, part.num_rows, 500):
-                p = part.slice(at, 500)
-                x = vectors(*_part(p), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([p.column("k"), pa.array([v.tobytes() for v in x], pa.binary())], names=["k", "x"])
-
-    spot = F.pmod(F.xxhash64("k"), F.lit(1 << 52))
-    chosen = records.where(spot < min(1.0, sample / max(n, 1)) * (1 << 52))
-    rows = sorted(chosen.select("k", "f", "sizes").mapInArrow(send, "k long, x binary").collect(), key=lambda r: r[0])
-    if not rows:  # of few documents the hash may choose none
-        rows = records.select("k", "f", "sizes").limit(sample).mapInArrow(send, "k long, x binary").collect()
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(-1, DIMS).astype(np.float32)
-    centres = _unit(np.stack([x[own].sum(axis=0) for own in leaves(x, LEAVES)]))
+                yield packed(np.rint(vectors(*_part(part.slice(at, 500)), idf) * NORM))
+
+    rows = written(records.select("f", "sizes").mapInArrow(send, "n int, x binary"), "subject-vectors")
+    centres = _unit(np.stack([x.total for x in bisection(rows, held)]).astype(np.float32))
     for _ in range(PASSES):
         def add(sums: np.ndarray, p: pa.RecordBatch, centres: np.ndarray = centres) -> None:
-            own = vectors(*_part(p), idf)
+            own = _rows(p).astype(np.float32)
             leaf = (own @ centres.T).argmax(axis=1)
             sums += (np.arange(len(centres))[:, None] == leaf) @ own
 
-        sums = _added(records.select("f", "sizes"), add, centres.shape)
+        sums = _added(rows, add, centres.shape)
         centres = np.where(np.any(sums, axis=1, keepdims=True), _unit(sums), centres)
     return idf, centres
 
@@ -357,13 +573,13 @@ def leaf_mixtures(assigned: DataFrame, n_leaves: int) -> tuple[list[str], np.nda
     return subjects, np.hstack([(1 - none)[:, None] * own, none[:, None]])
 
 
-def learn(records: DataFrame, labels: DataFrame, doc_id: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """records: ``described`` documents; labels: doc_id, subject."""
+def learn(records: DataFrame, labels: DataFrame, doc_id: str = "doc_id", sample: int | None = None) -> Model | None:
+    """records: ``described`` documents; labels: doc_id, subject; sample: of earlier callers, without effect."""
     df, n = document_frequencies(records)
     marked = labels.where(F.col("subject").isNotNull()).groupBy(F.col(doc_id).cast("long").alias("k")).agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     if not n or not marked.head(1):
         return None
-    idf, centres = cluster(records, df, n, sample)
+    idf, centres = cluster(records, df, n)
     subjects, mixture = leaf_mixtures(in_leaves(records, marked, idf, centres), len(centres))
     if not subjects:
         return None
