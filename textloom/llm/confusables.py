@@ -58,7 +58,7 @@ _ORDINARY = (
     "\n\r" + "".join(map(chr, range(0x20, 0x7F))) + "«»ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿĞğİıŞş"
     "،؛؟٪ءآأؤإئابةتثجحخدذرزسشصضطظعغفقلمنهوپچژکگی۰۱۲۳۴۵۶۷۸۹ً"
 )
-_is_ordinary = frozenset(_ORDINARY + "‌").issuperset
+_is_ordinary = re.compile("[" + re.sub(r"([\[\]\\^&-])", r"\\\1", _ORDINARY) + "‌]*").fullmatch
 #: For Java: where it finds nothing, a text is in consistent form already.
 SUSPECT = "[^" + re.sub(r"([\[\]\\^&-])", r"\\\1", _ORDINARY) + "‌]|(?<![؀-ۿ])‌|‌(?![؀-ۿ])"
 

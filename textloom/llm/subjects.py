@@ -17,7 +17,6 @@ judged alike; texts are read whole. Without labels there are no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +33,9 @@ BUCKETS = 1 << 16
 #: Length of a document's vector, and its norm in the bisection, where numbers are whole: sums of products of two vectors, and
 #: of PART numbers, stay below 2 ** 24, so floats of 32 bits hold them exactly, in whatever order they are added.
 DIMS, NORM, PART = 512, 4000, 4096
-#: Documents that one task bisects whole: 64 MB.
+#: Rows of float numbers that are multiplied at once: 1 MB.
+PIECE = 512
+#: Documents that one task bisects whole: 64 MB, and 32 MB for the float numbers of a node of at most 4 PART.
 HELD = 1 << 16
 #: Vectors in a row of the stage that the passes read.
 PACK = 8
@@ -53,19 +54,53 @@ LEAST_SHARE = 0.2
 FLOOR, TOP = 0.05, 4
 #: Log-odds from which a sentence belongs to a subject.
 LEAST_ODDS = 2.0
-_TOKEN = re.compile(r"[^\W_]+|[.؟!?؛;\r\n]")
-_hashes: dict[str, int] = {}
+#: Letters and digits (1), ends of sentences (2) and other characters (0) below U+10000.
+_KIND = np.fromiter(map(str.isalnum, map(chr, range(1 << 16))), np.uint8, 1 << 16)
+_KIND[[ord(c) for c in ".؟!?؛;\r\n"]] = 2
+#: Characters that are divided into tokens at once, unless one text has more.
+TOGETHER = 1 << 19
+#: Hashes of words kept per worker, each in the place that the first bits of its word's polynomial over 2 ** 64 give; two words
+#: that share all 64 bits would be taken for one.
+_KEPT_BITS, _POWER = 18, 0x9E3779B97F4A7C15
+_kept_keys, _kept_hashes = np.zeros(1 << _KEPT_BITS, np.uint64), np.zeros(1 << _KEPT_BITS, np.uint64)
 _HALF = np.uint64(BUCKETS // 2)
 
 
-def _token_hash(token: str) -> int:
-    if len(_hashes) > 1 << 18:
-        _hashes.clear()
-    h = 0
-    if token[0].isalnum():
-        h = (xxhash.xxh3_64_intdigest(word(token)) & ~1 | (token < "\u0250")) or 2
-    _hashes[token] = h
-    return h
+def _word_hash(token: str) -> int:
+    return (xxhash.xxh3_64_intdigest(word(token)) & ~1 | (token < "\u0250")) or 2
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, 0 for each end of a sentence; tokens up to the end of each text, an end of a sentence the last)."""
+    text = "\n".join([*texts, ""])
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _KIND[np.minimum(code, (1 << 16) - 1)]
+    wide = np.nonzero(code >> 16)[0]
+    kind[wide] = [chr(c).isalnum() for c in code[wide].tolist()]
+    letter = kind == 1
+    first = kind == 2
+    first[0] |= letter[0]
+    first[1:] |= letter[1:] & ~letter[:-1]
+    start = np.nonzero(first)[0]
+    h = np.zeros(len(start), np.uint64)
+    is_word = letter[start]
+    start_of_word, end_of_word = start[is_word], np.nonzero(letter[:-1] & ~letter[1:])[0] + 1
+    if len(start_of_word):
+        sizes = end_of_word - start_of_word
+        begin = np.cumsum(sizes) - sizes
+        powers = np.cumprod(np.full(sizes.max(), _POWER, np.uint64))
+        value = powers[np.arange(sizes.sum()) - np.repeat(begin, sizes)]
+        value *= code[letter]
+        key = np.add.reduceat(value, begin)
+        place = (key >> np.uint64(64 - _KEPT_BITS)).astype(np.int64)
+        own = np.where(_kept_keys[place] == key, _kept_hashes[place], np.uint64(0))
+        if len(new := np.nonzero(own == 0)[0]):
+            keys, at, of = np.unique(key[new], return_index=True, return_inverse=True)
+            hashes = np.array([_word_hash(text[a:b]) for a, b in zip(start_of_word[new[at]].tolist(), end_of_word[new[at]].tolist())], np.uint64)
+            own[new] = hashes[of]
+            _kept_keys[place[new[at]]], _kept_hashes[place[new[at]]] = keys, hashes
+        h[is_word] = own
+    return h, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
 
 
 def _bucket(x: np.ndarray, script: np.ndarray) -> np.ndarray:
@@ -75,14 +110,17 @@ def _bucket(x: np.ndarray, script: np.ndarray) -> np.ndarray:
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of words and word pairs, number of buckets of each sentence, number of sentences of each text)."""
-    tokens: list[str] = []
-    ends = []
-    for t in texts:
-        tokens += _TOKEN.findall(consistent(t)) if t else []
-        tokens.append("\n")
-        ends.append(len(tokens))
-    get = _hashes.get
-    h = np.array([x if (x := get(t)) is not None else _token_hash(t) for t in tokens], np.uint64)
+    parts, at = [(np.empty(0, np.uint64), np.empty(0, np.int64))], 0
+    forms = [consistent(t) or "" for t in texts]
+    while at < len(forms):
+        length, to = len(forms[at]), at + 1
+        while to < len(forms) and (length := length + len(forms[to])) <= TOGETHER:
+            to += 1
+        parts.append(_tokens(forms[at:to]))
+        at = to
+    h = np.concatenate([own for own, _ in parts])
+    before = np.cumsum([0] + [len(own) for own, _ in parts])
+    ends = np.concatenate([own + n for (_, own), n in zip(parts, before)])
     is_word = h != 0
     pair = is_word & np.append(is_word[1:], False)
     script = h & np.uint64(1)
@@ -189,14 +227,18 @@ def bisected(x: np.ndarray, root: Node, most: int) -> list[tuple[int, int, np.nd
         open_.remove(i)
         if not node.scatter:
             break
+        read = lambda own=own: (x[own[at : at + PIECE]].astype(np.float32) for at in range(0, len(own), PIECE))
+        if len(own) <= 4 * PART:
+            kept = list(read())
+            read = lambda kept=kept: kept
         done = False
         while not done:
             seen = None
-            for at in range(0, len(own), PART):
-                seen = _joined(seen, _look(x[own[at : at + PART]].astype(np.float32), node.v, node.seeks), node.seeks)
+            for y in read():
+                seen = _joined(seen, _look(y, node.v, node.seeks), node.seeks)
             done = node.met(seen[0], _found(seen[1]))
         if parts := node.parts():
-            side = np.concatenate([x[own[at : at + PART]].astype(np.float32) @ node.v >= 0 for at in range(0, len(own), PART)])
+            side = np.concatenate([y @ node.v >= 0 for y in read()])
             open_ |= {len(nodes), len(nodes) + 1}
             nodes += parts
             rows += [own[side], own[~side]]
@@ -237,11 +279,11 @@ def mixtures(scores: np.ndarray, words: np.ndarray, docs: np.ndarray, allowed: n
 
 def _by_sentence(weights: np.ndarray, f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the rows of weights over each sentence, in parts that bound the memory."""
-    out, step = [], 500
+    out, step = [], 100
     for i in range(0, len(starts), step):
         own = starts[i : i + step]
         end = starts[i + step] if i + step < len(starts) else len(f)
-        out.append(np.add.reduceat(weights[f[own[0] : end]], own - own[0], axis=0))
+        out.append(np.add.reduceat(weights.take(f[own[0] : end], axis=0), own - own[0], axis=0))
     return np.concatenate(out)
 
 
@@ -298,8 +340,11 @@ def _arrays(f: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray,
 def _frequencies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS, np.int64), 0
     for part in parts:
-        for own in part.column(0).to_pylist():
-            df[np.unique(np.frombuffer(own, np.uint16))] += 1
+        for at in range(0, part.num_rows, 500):
+            own = part.column(0).slice(at, 500).to_pylist()
+            row = np.repeat(np.arange(len(own), dtype=np.uint32), [len(x) // 2 for x in own])
+            cell = np.sort(row * np.uint32(BUCKETS) + np.frombuffer(b"".join(own), np.uint16))
+            df += np.bincount(cell[np.append(True, cell[1:] != cell[:-1])] % np.uint32(BUCKETS), minlength=BUCKETS)
         n += part.num_rows
     at = np.nonzero(df)[0]
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["bucket", "n"])
@@ -321,8 +366,9 @@ def _part(p: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _arrays(p.column("f").to_pylist(), p.column("sizes").to_pylist())
 
 
-def _added(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], shape: tuple[int, int]) -> np.ndarray:
-    """What ``add`` adds to an array of this shape, over all rows.
+def _added(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], shape: tuple[int, int], times: np.ndarray | None = None) -> np.ndarray:
+    """What ``add`` adds to an array of this shape, over all rows; with ``times``, it counts in an array of as many rows, of whole
+    numbers, whose product with ``times`` has this shape.
 
     Tasks send the cells that aren't 0, and each of SLICES slices is added up by one task: an array of fixed size reaches
     the driver, however many rows there are.
@@ -332,9 +378,12 @@ def _added(rows: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], s
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.zeros(SLICES * cells)
         sums = flat[: shape[0] * shape[1]].reshape(shape)
+        own = sums if times is None else np.zeros((shape[0], len(times)), np.uint32)
         for part in parts:
             for at in range(0, part.num_rows, 500):
-                add(sums, part.slice(at, 500))
+                add(own, part.slice(at, 500))
+        for at in range(0, shape[0] if times is not None else 0, PART):
+            sums[at : at + PART] = own[at : at + PART] @ times
         for i, own in enumerate(flat.reshape(SLICES, cells)):
             at = np.nonzero(own)[0].astype(np.uint32)
             if len(at):
@@ -366,8 +415,8 @@ def packed(x: np.ndarray, each: int = PACK) -> pa.RecordBatch:
 
 
 def _rows(p: pa.RecordBatch | pa.Table) -> np.ndarray:
-    size = np.dtype(np.int16).itemsize * DIMS
-    parts = [pa.decompress(x, n * size, codec="lz4_raw") for n, x in zip(p.column("n").to_pylist(), p.column("x").to_pylist())]
+    size, codec = np.dtype(np.int16).itemsize * DIMS, pa.Codec("lz4_raw")
+    parts = [codec.decompress(x.as_buffer(), n * size) for n, x in zip(p.column("n").to_pylist(), p.column("x"))]
     return np.frombuffer(b"".join(parts), np.int16).reshape(-1, DIMS)
 
 
@@ -586,17 +635,18 @@ def learn(records: DataFrame, labels: DataFrame, doc_id: str = "doc_id", sample:
     width = len(subjects) + 1
     first = Model(subjects, np.zeros((BUCKETS, width)), idf, centres, mixture)
     top = np.argsort(-mixture, axis=1)[:, :TOP]
+    shared = np.zeros_like(mixture)
+    np.put_along_axis(shared, top, np.take_along_axis(mixture, top, axis=1), axis=1)
 
-    def add_terms(sums: np.ndarray, p: pa.RecordBatch) -> None:
-        """Terms of each document, shared among the subjects of its leaf."""
+    def add_terms(counts: np.ndarray, p: pa.RecordBatch) -> None:
+        """Terms of the documents of each leaf, to be shared among its subjects."""
         f, sizes, per_doc = _part(p)
         leaf = np.repeat(np.repeat(first.leaf(f, sizes, per_doc), per_doc), sizes)
-        for j in range(top.shape[1]):
-            np.add.at(sums.reshape(-1), f * width + top[leaf, j], mixture[leaf, top[leaf, j]])
+        np.add.at(counts.reshape(-1), f * len(centres) + leaf, np.uint32(1))
 
     slim = records.select("f", "sizes")
     odds = lambda counts: _log_odds(counts, counts.sum(axis=1, dtype=float))
-    model = Model(subjects, odds(_added(slim, add_terms, (BUCKETS, width))), idf, centres, mixture)
+    model = Model(subjects, odds(_added(slim, add_terms, (BUCKETS, width), shared)), idf, centres, mixture)
 
     def add_sentences(sums: np.ndarray, p: pa.RecordBatch) -> None:
         """Terms of each sentence, given to its subject; below them, words of the subjects by leaf."""
